@@ -734,6 +734,7 @@ def score_address_candidates(candidates: DataFrame, master: DataFrame, scale: st
     rows = candidates.join(known, "bundle_id", "left").withColumns(
         {f"m_{n}": F.coalesce(f"m_{n}", F.lit("")) for n in names} | {f"c_{n}": F.coalesce(n, F.lit("")) for n in names}
     )
+    empty = reduce(lambda a, b: a & b, [F.col(f"m_{n}") == "" for n in names])
     divisor = 100.0 if scale == "reference" else 1.0
     full = F.coalesce("full_text", F.lit(""))
     pins = F.regexp_extract_all(full, F.lit(r"\b(\d{6})\b"), F.lit(1))
@@ -745,7 +746,7 @@ def score_address_candidates(candidates: DataFrame, master: DataFrame, scale: st
             F.when(postal != "", F.lit(C.ADDRESS_WEIGHTS["postalCode"])).alias("weight"),
             F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0)).alias("score"),
             hit.alias("matched"),
-            ((postal != "") & ~hit).alias("gap"),
+            (((postal != "") & ~hit) | (empty & (F.col("c_postalCode") != ""))).alias("gap"),
         )
     ]
     for name in names[1:]:
@@ -769,7 +770,6 @@ def score_address_candidates(candidates: DataFrame, master: DataFrame, scale: st
     bonus = F
     for role, value in C.ROLE_BONUS.items():
         bonus = bonus.when(F.col("address_role") == role, F.lit(value))
-    empty = reduce(lambda a, b: a & b, [F.col(f"m_{n}") == "" for n in names])
     unaided = F.least(F.lit(1.0), F.lit(0.5) + bonus.otherwise(F.lit(0.0)) + F.coalesce("confidence", F.lit(0.0)) * 0.35)
     rows = rows.withColumn("_f", fields)
     total = sum(F.coalesce(F.col("_f")[i]["weight"], F.lit(0.0)) for i in range(len(names)))
