@@ -224,9 +224,10 @@ def address_candidates(envelopes: DataFrame) -> DataFrame:
     for doc_type, (name, key) in role.items():
         roles, keys = roles.when(F.col("doc_type") == doc_type, F.lit(name)), keys.when(F.col("doc_type") == doc_type, F.lit(key))
     gst = F.col("doc_type") == "IN_GST_CERTIFICATE"
+    none = F.array().cast(envelopes.schema["additional"].dataType)
     main = F.array(F.struct(F.lit(0).alias("at"), F.col("address").alias("address")))
-    more = F.transform("additional", lambda a, i: F.struct((i + 1).alias("at"), a.alias("address")))
-    listed = F.concat(main, F.when(gst, F.coalesce(more, F.array().cast(envelopes.select(more).schema[0].dataType))).otherwise(F.array().cast(envelopes.select(more).schema[0].dataType)))
+    further = F.when(gst, F.coalesce("additional", none)).otherwise(none)
+    listed = F.concat(main, F.transform(further, lambda a, i: F.struct((i + 1).alias("at"), a.alias("address"))))
     rows = envelopes.select("document_id", "doc_type", "confidence", roles.otherwise(F.lit(None)).alias("_role"), keys.otherwise(F.lit(None)).alias("_key"), F.inline(listed))
     extra = F.col("at") > 0
     city = T.strip_to_null(F.col("address.city_name"))
@@ -479,4 +480,4 @@ def guard_suggestions(raw: DataFrame, options: DataFrame) -> DataFrame:
 
 def guard_tax_assignments(raw: DataFrame) -> DataFrame:
     """Tax assignments with a slot code and a number."""
-    return raw.where(F.col("tax_type_code").rlike("^TAXNO[0-9]+$") & T.present(F.col("number")))
+    return raw.where(F.col("tax_type_code").rlike("(?i)^TAXNO[0-9]+$") & T.present(F.col("number")))

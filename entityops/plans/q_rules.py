@@ -319,7 +319,7 @@ def identity_rows(t):
     )
 
 
-_IDENT = f"""ident AS (SELECT c_custkey AS record_id, c_nationkey, c_custkey AS k,
+IDENTITIES = f"""ident AS (SELECT c_custkey AS record_id, c_nationkey, c_custkey AS k,
   CASE WHEN c_custkey % 9 <> 0 THEN concat('abc', ['P','C','H','F','X'][c_custkey % 5 + 1], 'd', lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0'), 'f') END AS pan,
   CASE WHEN c_custkey % 8 <> 0 THEN concat(lpad(CAST(c_custkey % 40 AS VARCHAR), 2, '0'), CASE WHEN c_custkey % 3 = 0 THEN concat('ABCPD', lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0'), 'F')
      ELSE upper(concat('abc', ['P','C','H','F','X'][c_custkey % 5 + 1], 'd', lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0'), 'f')) END, '1Z', substr('{C.GSTIN_ALPHABET}', CAST(c_custkey % 36 + 1 AS INT), 1)) END AS gstin,
@@ -343,7 +343,7 @@ _IBAN_OK = f"CAST(array_to_string(list_transform(string_split(concat(substr(iban
 
 @query(
     "agg_20_identifier_audit",
-    f"""WITH {_IDENT}, cells AS (
+    f"""WITH {IDENTITIES}, cells AS (
   SELECT c_nationkey, 'pan' AS kind, regexp_matches(upper(pan), '{C.PAN}') AS ok FROM ident WHERE pan IS NOT NULL
   UNION ALL SELECT c_nationkey, 'gstin', regexp_matches(gstin, '{C.GSTIN_SHAPES}') FROM ident WHERE gstin IS NOT NULL
   UNION ALL SELECT c_nationkey, 'gstin_checked', {_GST_OK} FROM ident WHERE gstin IS NOT NULL
@@ -370,7 +370,7 @@ def email_verdicts(t):
 
 @query(
     "jn_12_cross_field_checks",
-    f"""WITH {_IDENT}, facts AS (SELECT *, CASE WHEN regexp_matches(substr(gstin, 3, 10), '{C.PAN}') THEN substr(gstin, 3, 10) END AS ep,
+    f"""WITH {IDENTITIES}, facts AS (SELECT *, CASE WHEN regexp_matches(substr(gstin, 3, 10), '{C.PAN}') THEN substr(gstin, 3, 10) END AS ep,
     {sql.case_of("substr(gstin, 1, 2)", C.STATE_REGION)} AS dr,
     CASE WHEN regexp_matches(upper(pan), '{C.PAN}') THEN CASE substr(upper(pan), 4, 1) WHEN 'P' THEN true WHEN 'X' THEN NULL ELSE false END END AS np FROM ident),
 checks AS (
@@ -388,7 +388,7 @@ def cross_field_checks(t):
 
 @query(
     "jn_12_locale_checks",
-    f"""WITH {_IDENT} SELECT record_id, 'uscc_checksum' AS check_id, CASE WHEN {_USCC_OK} THEN 'pass' ELSE 'fail' END AS status FROM ident WHERE country = 'CN'
+    f"""WITH {IDENTITIES} SELECT record_id, 'uscc_checksum' AS check_id, CASE WHEN {_USCC_OK} THEN 'pass' ELSE 'fail' END AS status FROM ident WHERE country = 'CN'
 UNION ALL SELECT record_id, 'ae_trn_shape', CASE WHEN regexp_matches(tax_id, '{C.AE_TRN}') THEN 'pass' ELSE 'fail' END FROM ident WHERE country = 'AE'
 UNION ALL SELECT record_id, 'us_ein_shape', CASE WHEN regexp_matches(tax_id, '{C.US_EIN}') THEN 'pass' ELSE 'fail' END FROM ident WHERE country = 'US'
 UNION ALL SELECT record_id, 'gb_vat_shape', CASE WHEN regexp_matches(tax_id, '{C.GB_VAT}') THEN 'pass' ELSE 'fail' END FROM ident WHERE country = 'GB'
