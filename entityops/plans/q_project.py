@@ -93,10 +93,10 @@ def locale_envelopes(t):
     return t.documents.select(
         key.alias("document_id"), F.element_at(F.array(*[F.lit(k) for k in _LOCALE_KINDS]), (key % len(_LOCALE_KINDS) + 1).cast("int")).alias("doc_type"),
         ((F.lit(70) + key % 30) / 100).alias("confidence"), F.concat(F.lit(" t"), key.cast("string")).alias("tax_number"),
-        F.when(key % 3 == 0, F.element_at(words, 1)).alias("legal_name_native"), F.when(key % 2 == 0, F.lit("Romanised")).alias("legal_name_romanised"),
+        F.when(key % 3 == 0, F.try_element_at(words, F.lit(1))).alias("legal_name_native"), F.when(key % 2 == 0, F.lit("Romanised")).alias("legal_name_romanised"),
         F.when(key % 5 != 0, F.lit("English")).alias("legal_name"), F.lit(None).cast("string").alias("trading_name_native"),
-        F.lit("Trade").alias("trading_name_romanised"), F.lit(None).cast("string").alias("trading_name"), F.element_at(words, 2).alias("street_name"),
-        F.when(key % 4 == 0, F.element_at(words, 3)).alias("city_name"), F.lit("9").alias("account_number"), F.lit(" ").alias("bank_name"),
+        F.lit("Trade").alias("trading_name_romanised"), F.lit(None).cast("string").alias("trading_name"), F.try_element_at(words, F.lit(2)).alias("street_name"),
+        F.when(key % 4 == 0, F.try_element_at(words, F.lit(3))).alias("city_name"), F.lit("9").alias("account_number"), F.lit(" ").alias("bank_name"),
     )
 
 

@@ -36,5 +36,6 @@ def stream_feedback(rows: DataFrame, path: str, checkpoint: str):
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     """Feedback rows with a declared schema; blank and malformed lines are skipped."""
-    table = spark.read.schema(FEEDBACK_SCHEMA).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-    return table.where("_corrupt IS NULL").drop("_corrupt")
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = F.from_json("value", FEEDBACK_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
+    return lines.select(parsed.alias("f")).where("f._corrupt IS NULL").select("f.*").drop("_corrupt")

@@ -27,8 +27,19 @@ def upload_verdict(content: Column, size: Column, max_bytes: int = C.MAX_UPLOAD_
     return F.struct(status.alias("status"), F.when(status == 200, mime).alias("mime"))
 
 
-def upload_scan(spark: SparkSession, path: str, max_bytes: int = C.MAX_UPLOAD_BYTES, allowed: list[str] | None = None) -> DataFrame:
-    """Verdict for every file below ``path``."""
+def upload_scan(
+    spark: SparkSession, path: str, max_bytes: int = C.MAX_UPLOAD_BYTES, allowed: list[str] | None = None, manifest: DataFrame | None = None
+) -> DataFrame:
+    """Verdict for every file below ``path``.
+
+    Spark's file sources leave out files of zero bytes; with a ``manifest`` (path) of what was uploaded
+    they are reported too.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     verdict = upload_verdict(F.col("content"), F.col("length"), max_bytes, allowed)
-    return files.select("path", "length", verdict.alias("v")).select("path", "length", "v.status", "v.mime")
+    found = files.select("path", "length", verdict.alias("v")).select("path", "length", "v.status", "v.mime")
+    if manifest is None:
+        return found
+    return manifest.select("path").join(found, "path", "left").select(
+        "path", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("status", F.lit(400)).alias("status"), "mime"
+    )

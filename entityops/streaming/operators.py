@@ -20,6 +20,11 @@ from entityops.operators import usage
 EXPIRY_SCHEMA = "session_id string, created_at timestamp, expires_at timestamp"
 
 
+def _event_time(df: DataFrame) -> DataFrame:
+    """Watermarks need an instant; times without a zone are taken in the session's zone."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp")) if df.isStreaming else df
+
+
 def run_state(events: DataFrame, runs: DataFrame) -> DataFrame:
     """Status and counts of the known runs.
 
@@ -72,7 +77,7 @@ def expired_sessions(sessions: DataFrame, ttl_seconds: int = 3600, watermark: st
         yield  # makes this a generator
 
     return (
-        sessions.withWatermark("ts", watermark)
+        _event_time(sessions).withWatermark("ts", watermark)
         .groupBy("session_id")
         .applyInPandasWithState(step, EXPIRY_SCHEMA, "created long", "append", GroupStateTimeout.EventTimeTimeout)
     )
@@ -81,7 +86,7 @@ def expired_sessions(sessions: DataFrame, ttl_seconds: int = 3600, watermark: st
 def rolling_feedback(feedback: DataFrame, window: str = "1 day", watermark: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Ratings per window, country and connector, flagged when they would give a hint."""
     bad = F.col("rating") == "not_helpful"
-    counts = feedback.withWatermark("ts", watermark).groupBy(
+    counts = _event_time(feedback).withWatermark("ts", watermark).groupBy(
         F.window("ts", window, slide) if slide else F.window("ts", window), "country", "connector"
     ).agg(F.count(F.lit(1)).alias("samples"), F.count_if(bad).alias("negative"))
     flagged = (F.col("samples") >= C.FEEDBACK_MIN_SAMPLES) & (F.col("negative") / F.col("samples") >= C.FEEDBACK_NEGATIVE_RATE)
@@ -93,7 +98,7 @@ def usage_by_day(generations: DataFrame, watermark: str = "1 day", include_tests
     rows = generations if include_tests else usage.exclude_test_traces(generations)
     priced = usage.estimate_cost(rows).withColumn("feature", usage.feature_of(F.col("name")))
     return (
-        priced.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day"), "feature")
+        _event_time(priced).withWatermark("ts", watermark).groupBy(F.window("ts", "1 day"), "feature")
         .agg(
             F.count(F.lit(1)).alias("generations"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"),
             F.sum("cost_usd").cast("double").alias("cost_usd"),
@@ -107,7 +112,7 @@ def dedup_uploads(uploads: DataFrame, content: Column, watermark: str = "1 hour"
     hashed = uploads.withColumn("content_hash", F.sha2(content, 256))
     if not uploads.isStreaming:
         return hashed.dropDuplicates(["content_hash"])
-    return hashed.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["content_hash"])
+    return _event_time(hashed).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["content_hash"])
 
 
 def stage_counts(events: DataFrame) -> DataFrame:
