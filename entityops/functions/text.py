@@ -120,7 +120,11 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def ratio(left: Column, right: Column) -> Column:
     """Similarity of the normalised texts, 0..100, half-even; 0 when a side is empty."""
-    a, b = norm_text(left), norm_text(right)
+    return ratio_of(norm_text(left), norm_text(right))
+
+
+def ratio_of(a: Column, b: Column) -> Column:
+    """The same for texts that are normalised already."""
     return F.when((a == "") | (b == ""), F.lit(0)).otherwise(F.rint(_ratio(a, b)).cast("int"))
 
 
@@ -135,7 +139,10 @@ def token_sort_ratio(left: Column, right: Column) -> Column:
 
 def token_jaccard(left: Column, right: Column) -> Column:
     """Shared share of the token sets, 0..100, half-even."""
-    a, b = norm_text(left), norm_text(right)
+    return jaccard_of(norm_text(left), norm_text(right))
+
+
+def jaccard_of(a: Column, b: Column) -> Column:
     ta, tb = F.split(a, " "), F.split(b, " ")
     share = F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb))
     return (
@@ -147,16 +154,21 @@ def token_jaccard(left: Column, right: Column) -> Column:
 
 def tax_match(known: Column, found: Column) -> Column:
     """Identifier agreement: equal or equal to one listed part 100, containment at least 85, else ratio."""
-    a, b = norm_text(known), norm_text(found)
+    return tax_match_of(known, norm_text(known), norm_text(found))
+
+
+def tax_match_of(known: Column, a: Column, b: Column) -> Column:
+    """The same with both sides normalised; ``known`` is still needed for its separators."""
     raw_parts = F.filter(F.split(F.coalesce(known, F.lit("")), r"(?U)[·,;/\s]+"), lambda p: F.trim(p) != "")
     parts = F.transform(raw_parts, norm_text)
     related = F.filter(parts, lambda p: (p != "") & (b.contains(p) | p.contains(b)))
     part = F.try_element_at(related, F.lit(1))
+    score = ratio_of(F.coalesce(part, a), b)
     return (
-        F.when(~present(known) | ~present(found), F.lit(0))
+        F.when((a == "") | (b == ""), F.lit(0))
         .when((a == b) | F.array_contains(parts, b), F.lit(100))
-        .when(part.isNotNull(), F.greatest(ratio(part, found), F.lit(85)))
-        .otherwise(ratio(known, found))
+        .when(part.isNotNull(), F.greatest(score, F.lit(85)))
+        .otherwise(score)
     )
 
 

@@ -106,24 +106,29 @@ def score_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """
     c = F.col
     tax = F.array_join(F.coalesce("tax_ids", F.array().cast("array<string>")), " · ")
+    # normalise every text once, in a projection of its own
+    texts = ["name", "legal_name", "city", "street", "postal_code", "found_name", "found_legal_name", "found_tax_id", "found_city", "found_street", "found_postal_code"]
+    ready = pairs.withColumn("_tax", tax).withColumns({f"_n_{x}": T.norm_text(c(x)) for x in texts} | {"_n_tax": T.norm_text(c("_tax"))})
+    n = lambda x: c(f"_n_{x}")
     found_name = T.first_present(c("found_name"), c("found_legal_name"))
 
     def equal(a: Column, b: Column) -> Column:
-        return F.when(T.present(a) & T.present(b) & (a == b), 100).otherwise(0)
+        return F.when((a != "") & (b != "") & (a == b), 100).otherwise(0)
 
     name = F.greatest(
-        T.ratio(c("name"), c("found_name")), T.ratio(c("name"), c("found_legal_name")), T.ratio(c("legal_name"), c("found_legal_name"))
+        T.ratio_of(n("name"), n("found_name")), T.ratio_of(n("name"), n("found_legal_name")), T.ratio_of(n("legal_name"), n("found_legal_name"))
     )
-    city = F.greatest(T.ratio(c("city"), c("found_city")), T.token_jaccard(c("city"), c("found_city")))
+    city = F.greatest(T.ratio_of(n("city"), n("found_city")), T.jaccard_of(n("city"), n("found_city")))
     cells = struct_rows(
         "field ordinal left_value right_value raw",
         ("tradingName", 1, c("name"), found_name, name),
-        ("tax", 2, tax, c("found_tax_id"), T.tax_match(tax, c("found_tax_id"))),
+        ("tax", 2, c("_tax"), c("found_tax_id"), T.tax_match_of(c("_tax"), n("tax"), n("found_tax_id"))),
         ("city", 3, c("city"), c("found_city"), city),
-        ("street", 4, c("street"), c("found_street"), T.token_jaccard(c("street"), c("found_street"))),
-        ("postalCode", 5, c("postal_code"), c("found_postal_code"), equal(T.norm_text(c("postal_code")), T.norm_text(c("found_postal_code")))),
+        ("street", 4, c("street"), c("found_street"), T.jaccard_of(n("street"), n("found_street"))),
+        ("postalCode", 5, c("postal_code"), c("found_postal_code"), equal(n("postal_code"), n("found_postal_code"))),
         ("country", 6, c("country"), c("found_country"), equal(F.upper("country"), F.upper("found_country"))),
     )
+    pairs = ready
     left, right = T.strip_to_null(c("left_value")), T.strip_to_null(c("right_value"))
     known = left.isNotNull() & right.isNotNull()
     return pairs.select(*keys, F.inline(cells)).select(
@@ -206,60 +211,67 @@ def blocking_request(records: DataFrame, keys: list[str]) -> tuple[DataFrame, Da
 def duplicate_candidates(records: DataFrame, min_jaccard: float = 0.5, top: int = 5) -> DataFrame:
     """The ``top`` most similar other records of each record, exact, for any number of copies.
 
-    records: record_id, name, country, postal_code.  Records with equal fields share a signature, and
-    only signatures are paired: two of them can reach ``min_jaccard`` only if they share one of
-    their rarest tokens, so the pairs come from an equi-join on those.  Members of one signature tie on
-    score and are taken in id order, so its first ``top + 1`` ids stand for all of them.
+    records: record_id, name, country, postal_code.  Only distinct names are paired: two names can reach
+    ``min_jaccard`` only if they share one of their rarest tokens, so the pairs come from an equi-join on
+    those.  Within a name, records differ only in country and postal code, and a record's score depends
+    on which of the two agree.  The first ``top + 1`` ids of a name alone, of a name with a country, with
+    a postal code and with both therefore hold every record that can be among the best.
     """
+    w = C.FIELD_WEIGHTS
     keyed = records.select(
-        "record_id", T.norm_text(F.col("name")).alias("_name"), F.coalesce("country", F.lit("")).alias("_country"),
-        F.coalesce(F.col("postal_code").cast("string"), F.lit("")).alias("_postal"),
-    ).withColumn("_sig", F.concat_ws("\u0001", "_name", "_country", "_postal"))
-    signatures = keyed.select("_sig", "_name", "_country", "_postal").distinct().where("_name <> ''")
-    signatures = signatures.withColumn("_tokens", F.array_distinct(F.split("_name", " ")))
-    tokens = signatures.select("_sig", F.size("_tokens").alias("_size"), F.explode("_tokens").alias("token"))
+        "record_id", T.norm_text(F.col("name")).alias("name"), F.coalesce("country", F.lit("")).alias("country"),
+        F.coalesce(F.col("postal_code").cast("string"), F.lit("")).alias("postal"),
+    ).where("name <> ''")
+    # the smallest record id of a name stands for the name, and likewise for a group of equal records
+    ids = keyed.groupBy("name").agg(F.min("record_id").alias("nid"))
+    rows = keyed.join(ids, "name").select("record_id", "nid", "country", "postal")
+    names = ids.withColumn("_tokens", F.array_distinct(F.split("name", " "))).select("nid", "_tokens")
+    tokens = names.select("nid", F.size("_tokens").alias("_size"), F.explode("_tokens").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_freq"))
-    keep = F.col("_size") - F.ceil(F.col("_size") * min_jaccard) + 1
-    ranked = (
-        tokens.join(frequency, "token")
-        .groupBy("_sig", "_size")
-        .agg(F.array_sort(F.collect_list(F.struct("_freq", "token"))).alias("_rare"))
+    keep = (F.col("_size") - F.ceil(F.col("_size") * min_jaccard) + 1).cast("int")
+    rarest = (
+        tokens.join(frequency, "token").groupBy("nid", "_size").agg(F.array_sort(F.collect_list(F.struct("_freq", "token"))).alias("_rare"))
+        .select("nid", F.explode(F.slice("_rare", F.lit(1), keep)).alias("_r")).select("nid", F.col("_r.token").alias("token"))
     )
-    prefix = ranked.select("_sig", F.explode(F.slice("_rare", F.lit(1), keep.cast("int"))).alias("_r")).select("_sig", F.col("_r.token").alias("token"))
+    alike = rarest.withColumnRenamed("nid", "a").join(rarest.withColumnRenamed("nid", "b"), "token").select("a", "b").distinct()
     pairs = (
-        prefix.withColumnRenamed("_sig", "a").join(prefix.withColumnRenamed("_sig", "b"), "token").select("a", "b").distinct()
+        alike.join(names.select(F.col("nid").alias("a"), F.col("_tokens").alias("_ta")), "a")
+        .join(names.select(F.col("nid").alias("b"), F.col("_tokens").alias("_tb")), "b")
+        .withColumn("_share", F.size(F.array_intersect("_ta", "_tb")) / F.size(F.array_union("_ta", "_tb")))
+        .where(F.col("_share") >= min_jaccard)
+        .select("a", "b", F.rint(F.col("_share") * 100).cast("int").alias("name_score"))
     )
 
-    def side(name: str) -> DataFrame:
-        return signatures.select(
-            F.col("_sig").alias(name), F.col("_tokens").alias(f"{name}_tokens"), F.col("_country").alias(f"{name}_country"), F.col("_postal").alias(f"{name}_postal")
+    def heads(*fields: str) -> DataFrame:
+        """First ids of each (name, fields)."""
+        return top_rows(rows, ["nid", *fields], [F.col("record_id")], top + 1, "_n").select(
+            F.col("nid").alias("b"), F.col("record_id").alias("candidate_id"), F.col("country").alias("c2"), F.col("postal").alias("p2")
         )
 
-    share = F.size(F.array_intersect("a_tokens", "b_tokens")) / F.size(F.array_union("a_tokens", "b_tokens"))
-    w = C.FIELD_WEIGHTS
-    named = F.rint(share * 100)
-    total = named * w["tradingName"]
-    weight = F.lit(w["tradingName"])
-    for column, field in (("country", "country"), ("postal", "postalCode")):
-        a, b = F.col(f"a_{column}"), F.col(f"b_{column}")
-        known = (a != "") & (b != "")
-        total = total + F.when(known & (a == b), 100 * w[field]).otherwise(0)
-        weight = weight + F.when(known, w[field]).otherwise(0)
-    scored = (
-        pairs.join(side("a"), "a").join(side("b"), "b").where(share >= min_jaccard)
-        .select("a", "b", named.cast("int").alias("name_score"), F.rint(total / weight).cast("int").alias("score"))
-    )
-    heads = top_rows(keyed.select("_sig", "record_id"), ["_sig"], [F.col("record_id")], top + 1).select(
-        F.col("_sig").alias("b"), F.col("record_id").alias("candidate_id")
-    )
-    nearest = top_rows(scored.join(heads, "b").drop("b"), ["a"], [-F.col("score"), F.col("candidate_id")], top + 1)
-    lists = nearest.groupBy("a").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "candidate_id", "name_score", "score"))).alias("_near")
+    groups = rows.groupBy("nid", "country", "postal").agg(F.min("record_id").alias("gid"))
+    asked = groups.select("gid", F.col("nid").alias("a"), F.col("country").alias("c1"), F.col("postal").alias("p1")).join(pairs, "a")
+    same_country, same_postal = F.col("c1") == F.col("c2"), F.col("p1") == F.col("p2")
+    found = reduce(
+        DataFrame.unionByName,
+        [
+            asked.join(heads(), "b").where(~same_country & ~same_postal),
+            asked.join(heads("country"), "b").where(same_country & ~same_postal),
+            asked.join(heads("postal"), "b").where(~same_country & same_postal),
+            asked.join(heads("country", "postal"), "b").where(same_country & same_postal),
+        ],
     )
+    total, weight = F.col("name_score") * w["tradingName"], F.lit(w["tradingName"])
+    for one, two, field in (("c1", "c2", "country"), ("p1", "p2", "postalCode")):
+        known = (F.col(one) != "") & (F.col(two) != "")
+        total = total + F.when(known & (F.col(one) == F.col(two)), 100 * w[field]).otherwise(0)
+        weight = weight + F.when(known, w[field]).otherwise(0)
+    scored = found.select("gid", "candidate_id", "name_score", F.rint(total / weight).cast("int").alias("score"))
+    nearest = top_rows(scored, ["gid"], [-F.col("score"), F.col("candidate_id")], top + 1)
+    lists = nearest.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_id", "name_score", "score"))).alias("_near"))
     others = F.slice(F.filter("_near", lambda x: x["candidate_id"] != F.col("record_id")), 1, top)
     return (
-        keyed.select("record_id", F.col("_sig").alias("a"))
-        .join(lists, "a")
+        rows.join(groups, ["nid", "country", "postal"]).select("record_id", "gid")
+        .join(lists, "gid")
         .select("record_id", F.posexplode(others).alias("_at", "_c"))
         .select(
             "record_id", (F.col("_at") + 1).alias("rank"), F.col("_c.candidate_id").alias("candidate_id"),

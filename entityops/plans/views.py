@@ -23,6 +23,18 @@ def _line_key():
     )
 
 
+WIDE = {"lineitem", "orders", "part", "events", "documents", "pages"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table that sits in fewer files than there are cores to every core.
+
+    A table of many files is left as it is: its scan already has a task per file split.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 class Tables:
     """Base tables by attribute, derived views by method."""
 
@@ -31,7 +43,8 @@ class Tables:
         self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in WIDE else table
 
     def v_lines(self) -> DataFrame:
         return self.lineitem.withColumn("line_key", _line_key())

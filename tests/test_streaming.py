@@ -57,7 +57,7 @@ def test_sessions_expire_a_fixed_time_after_creation(spark, tmp_path):
 
 def test_late_ratings_are_dropped(spark, tmp_path):
     ddl = "ts timestamp, country string, connector string, rating string"
-    batches = [[(at(0), "IN", "c", "not_helpful")] * 8, [(at(60 * 48), "IN", "c", "helpful")], [(at(1), "IN", "c", "helpful")] * 5, [(at(60 * 96), "IN", "c", "helpful")]]
+    batches = [[(at(0), "IN", "c", "not_helpful")] * 8, [(at(60 * 48), "IN", "c", "helpful")], [(at(60 * 49), "IN", "c", "helpful")], [(at(1), "IN", "c", "helpful")] * 5, [(at(60 * 96), "IN", "c", "helpful")]]
     stream = X.rolling_feedback(feed(spark, tmp_path, batches, ddl), "1 day", "1 hour")
     got = {r.window_start: (r.samples, r.negative, r.hint) for r in drain(spark, tmp_path, stream, "append", "feedback_out").collect()}
     assert got[START] == (8, 8, True)
