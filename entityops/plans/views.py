@@ -7,6 +7,8 @@ of the DataFrame versions shuffles except for joins with dimension tables.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +28,9 @@ def _line_key():
 WIDE = {"lineitem", "orders", "part", "events", "documents", "pages"}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table that sits in fewer files than there are cores to every core.
-
-    A table of many files is left as it is: its scan already has a task per file split.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Give a table that is one local file to every core; stored tables of many files are left alone."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if os.path.isfile(path) else df
 
 
 class Tables:
@@ -43,8 +41,9 @@ class Tables:
         self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread(table) if name in WIDE else table
+        path = f"{self.sf_dir}/{name}.parquet"
+        table = self.spark.read.parquet(path)
+        return spread(table, path) if name in WIDE else table
 
     def v_lines(self) -> DataFrame:
         return self.lineitem.withColumn("line_key", _line_key())
