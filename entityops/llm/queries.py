@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entityops.llm import quality_rules
+from entityops.llm import decontaminate, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and the verdict of line frequency for every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality_rules.apply_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_decontaminate")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified overlaps of documents with benchmark items."""
+    return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))

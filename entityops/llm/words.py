@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,6 +13,9 @@ WHITE = bytes([0x20, *range(0x09, 0x0E)])
 IS_WHITE = np.zeros(256, dtype=bool)
 IS_WHITE[list(WHITE)] = True
 
+IS_PUNCTUATION = np.zeros(256, dtype=bool)
+IS_PUNCTUATION[list(string.punctuation.encode())] = True
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK_BYTES = 2 << 20
 
@@ -44,22 +48,27 @@ def powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def split_words(texts: list[bytes]) -> Words:
-    """All words of ``texts`` with their 64-bit hashes."""
+def split_words(texts: list[bytes], strip_punctuation: bool = False) -> Words:
+    """All words of ``texts`` with their 64-bit hashes; stripped words lose ASCII punctuation at both ends."""
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     offsets = np.cumsum(lengths) - lengths
     inside = ~IS_WHITE[buffer]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     start, end = edges[0::2], edges[1::2]
+    if strip_punctuation:
+        solid = np.flatnonzero(inside & ~IS_PUNCTUATION[buffer])
+        low, high = np.searchsorted(solid, start), np.searchsorted(solid, end)
+        some = high > low
+        start, end = solid[low[some]], solid[high[some] - 1] + 1
     doc = np.searchsorted(offsets, start, side="right") - 1
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     if not len(start):
         return Words(buffer, start, end, doc, first, np.zeros(0, np.uint64))
     size = end - start
     at = np.cumsum(size) - size
-    letters = buffer[inside].astype(np.uint64) + np.uint64(1)
-    position = np.arange(len(letters)) - np.repeat(at, size)
+    position = np.arange(int(size.sum())) - np.repeat(at, size)
+    letters = buffer[position + np.repeat(start, size)].astype(np.uint64) + np.uint64(1)
     letters *= powers(int(size.max()))[position]
     return Words(buffer, start, end, doc, first, mix(np.add.reduceat(letters, at)))
 
