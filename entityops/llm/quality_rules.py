@@ -97,49 +97,42 @@ def word_statistics(docs: DataFrame, text: str = "text", window: int = 5) -> Dat
     return step.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    return docs.select(
-        F.col(doc_id).alias("_id"),
-        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"),
-        F.coalesce(F.col(text), F.lit("")).alias("_text"),
-    ).withColumn("_row", F.md5(F.concat_ws("\x1f", F.col("_id").cast("string"), "_host", "_text")))
-
-
-def _lines(keyed: DataFrame) -> DataFrame:
-    """One row per document and different line: hash of the normal form and words in all its occurrences."""
-    line = keyed.select(
-        "_row",
-        "_id",
-        "_host",
-        F.explode(
-            F.transform(
-                F.split("_text", "\n"),
-                lambda x: F.struct(F.xxhash64(_normal_line(x)).alias("h"), F.size(_words(x)).alias("w")),
-            )
-        ).alias("line"),
-    ).where("line.w > 0")
-    return line.groupBy("_row", "_id", "_host", F.col("line.h").alias("_h")).agg(F.sum("line.w").alias("_w"))
+def _row_key(doc_id: Column, host: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, F.coalesce(host.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+
+
+def _lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
+    """(_id, _host, _row, at, _h, _w): every line with a word, as hashes: id, host, row, place, host and line, words."""
+    source = F.coalesce(F.col(host).cast("string"), F.lit(""))
+    lines = F.transform(
+        F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.struct(_normal_line(x).alias("line"), F.size(_words(x)).alias("w"))
+    )
+    return (
+        docs.select(F.col(doc_id).alias("_id"), source.alias("_source"), _row_key(F.col(doc_id), F.col(host), F.col(text)).alias("_row"), F.posexplode(lines).alias("at", "x"))
+        .where("x.line <> ''")
+        .select("_id", F.xxhash64("_source").alias("_host"), "_row", "at", F.xxhash64("_source", "x.line").alias("_h"), F.col("x.w").alias("_w"))
+    )
 
 
 def frequent_lines(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """(_host, _h, _owner): hashes of the lines above the limits and the smallest id that holds each.
+    """(_h, _owner): hashes of host and line above the limits, and the smallest id that holds each.
 
     Documents are counted by id: copies of a row count once, equal texts under two ids count twice.
     Counts are partial aggregates, so a line that a third of all documents hold loads no single task.
     """
-    keyed = _keyed(docs, doc_id, text, host)
-    held = _lines(keyed).groupBy("_host", "_h", "_id").agg(F.lit(1).alias("one"))
-    counts = held.groupBy("_host", "_h").agg(F.count("*").alias("n"), F.min("_id").alias("_owner")).where(F.col("n") > limits.line_documents)
-    hosts = keyed.groupBy("_host", "_id").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("total"))
-    return counts.join(hosts, "_host").where(F.col("n") * 100 > F.col("total") * limits.line_percent).select("_host", "_h", "_owner")
+    held = _lines(docs, doc_id, text, host).groupBy("_h", "_host", "_id").agg(F.lit(1).alias("one"))
+    counts = held.groupBy("_h", "_host").agg(F.count("*").alias("n"), F.min("_id").alias("_owner")).where(F.col("n") > limits.line_documents)
+    ids = docs.select(F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))).alias("_host"), F.col(doc_id).alias("_id"))
+    hosts = ids.groupBy("_host", "_id").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("total"))
+    return counts.join(hosts, "_host").where(F.col("n") * 100 > F.col("total") * limits.line_percent).select("_h", "_owner")
 
 
 def _removed(docs: DataFrame, limits: Limits, doc_id: str, text: str, host: str) -> DataFrame:
-    """(_row, gone, n_gone): words that a document loses, and the hashes of the lines that go."""
-    lines = _lines(_keyed(docs, doc_id, text, host))
-    hit = lines.join(frequent_lines(docs, limits, doc_id, text, host), ["_host", "_h"]).where(~F.col("_id").eqNullSafe(F.col("_owner")))
-    hit = hit.dropDuplicates(["_row", "_h"])
-    return hit.groupBy("_row").agg(F.sum("_w").alias("gone"), F.collect_set("_h").alias("gone_lines"))
+    """(_row, gone, gone_lines): words that a document loses, and the hashes of the lines that go."""
+    lines = _lines(docs, doc_id, text, host).drop("_host")
+    hit = lines.join(frequent_lines(docs, limits, doc_id, text, host), "_h").where(~F.col("_id").eqNullSafe(F.col("_owner")))
+    once = hit.groupBy("_row", "at", "_h").agg(F.max("_w").alias("w"))
+    return once.groupBy("_row").agg(F.sum("w").alias("gone"), F.collect_set("_h").alias("gone_lines"))
 
 
 def apply_rules(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -150,17 +143,16 @@ def apply_rules(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_i
     names = [c for c in docs.columns if c not in RESULT_COLUMNS]
     keep = F.struct(*[F.col(c) for c in names])
     packed = docs.select(keep.alias("_all"), F.col(doc_id).alias("_id"), F.col(host).alias("_source"), F.col(text).alias("_text"))
-    measured = word_statistics(packed, "_text", limits.window).withColumn(
-        "_row", F.md5(F.concat_ws("\x1f", F.col("_id").cast("string"), F.coalesce(F.col("_source").cast("string"), F.lit("")), F.coalesce("_text", F.lit(""))))
-    )
+    measured = word_statistics(packed, "_text", limits.window).withColumn("_row", _row_key(F.col("_id"), F.col("_source"), F.col("_text")))
     joined = measured.join(_removed(docs, limits, doc_id, text, host), "_row", "left")
     gone = F.coalesce("gone", F.lit(0))
     left = F.col("n_words") - gone
     base_failed = (F.col("n_words") < limits.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * limits.repeat_percent)
     depleted = (gone > 0) & ((left < limits.min_words) | (left * 100 < F.col("n_words") * limits.min_left_percent))
+    source = F.coalesce(F.col("_source").cast("string"), F.lit(""))
     clean = F.when(
         gone > 0,
-        F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("gone_lines", F.xxhash64(_normal_line(x)))), "\n"),
+        F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("gone_lines", F.xxhash64(source, _normal_line(x)))), "\n"),
     ).otherwise(F.col("_text"))
     return joined.select(
         "_all.*",
