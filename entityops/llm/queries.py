@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from entityops.llm import decontaminate, jaccard_join, quality_rules
+from entityops.llm import decontaminate, jaccard_join, privacy, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +83,14 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, min(other) A
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles are alike."""
     return jaccard_join.join_components(_read(spark, sf_dir, "documents"))
+
+
+#: The key of the registered query; a job passes its own secret.
+DEMO_KEY = "surrogate key of the registered query"
+
+
+@query("op2_privacy_surrogates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with surrogates, and what was replaced."""
+    out = privacy.replace_entities(_read(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    return out.select("doc_id", F.size("entities").alias("n_entities"), F.array_join(F.transform("entities", lambda e: e["kind"]), ",").alias("kinds"), "text")
