@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityops.llm import decontaminate, jaccard_join, privacy, quality_rules
+from entityops.llm import byte_bpe, decontaminate, jaccard_join, privacy, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +95,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with surrogates, and what was replaced."""
     out = privacy.replace_entities(_read(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
     return out.select("doc_id", F.size("entities").alias("n_entities"), F.array_join(F.transform("entities", lambda e: e["kind"]), ",").alias("kinds"), "text")
+
+
+def byte_vocabulary() -> byte_bpe.Vocabulary:
+    return byte_bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op6_byte_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the bytes they decode to, as digests."""
+    encoded = byte_bpe.encode(_read(spark, sf_dir, "documents"), byte_vocabulary())
+    back = byte_bpe.decode(encoded, byte_vocabulary())
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
