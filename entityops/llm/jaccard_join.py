@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from entityops.llm import words as W
@@ -46,7 +45,7 @@ class Join:
     percent: int = 85
     subset: int = 3
     frequent: int = 1 << 17
-    frequent_in_batch: int = 8
+    frequent_in_batch: int = 4
     sketch_bits: int = 25
     pivots: tuple[int, ...] = (1, 8, 64)
 
@@ -84,12 +83,12 @@ def _needed(n: int, percent: int) -> int:
 def _statistics(docs: DataFrame, text: str, join: Join) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
     """Sizes of all sets, and the most frequent shingles with their counts.
 
-    Batches send shingles that at least ``frequent_in_batch`` of their texts hold; sums over batches are
+    Runs of about 8 MB of text send shingles that at least ``frequent_in_batch`` of their texts hold; sums over these runs are
     lower bounds of the document frequency. Sizes are sent rounded to two significant digits.
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in W.slices(batches, 0):
             sizes: dict[int, int] = {}
             parts = [np.zeros(0, np.uint64)]
             for _, s in _sets(batch, 0, join.width):
@@ -166,7 +165,7 @@ def _profiles(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
     order = docs.sparkSession.sparkContext.broadcast((frequent, count))
 
     def run(batches):
-        for batch in batches:
+        for batch in W.slices(batches, 1):
             n, sig, keys = [], [], []
             for _, s in _sets(batch, 1, join.width):
                 n.append(len(s))
@@ -200,7 +199,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, owners: DataFrame, doc_id: str,
     bits = join.sketch_bits
 
     def run(batches):
-        for batch in batches:
+        for batch in W.slices(batches, 0):
             cell = (batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
             hit = np.flatnonzero((bitmap.value[cell >> 5] >> (cell & 31).astype(np.uint32)) & np.uint32(1))
             if not len(hit):
@@ -216,18 +215,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, owners: DataFrame, doc_id: str,
     both = left.join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
     percent = join.percent
 
-    @F.pandas_udf(T.BooleanType())
-    def linked(x, y):
-        import pandas as pd
-
-        out = []
-        for p, q in zip(x, y, strict=True):
-            total = (len(p) + len(q)) // 6
-            same = total - len(np.unique(np.concatenate((_wide(p), _wide(q)))))
-            out.append(100 * same >= percent * (total - same))
-        return pd.Series(out, dtype=bool)
-
-    return both.where(linked("sa", "sb")).select("a", "b")
+    def linked(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = _wide(x.as_py()), _wide(y.as_py())
+                both = np.sort(np.concatenate((p, q)))
+                same = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * same >= percent * (len(both) - same))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(linked, "a long, b long")
 
 
 def _wide(data: bytes) -> np.ndarray:

@@ -85,6 +85,20 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield begin, texts[begin:]
 
 
+def slices(batches, column: int, most_bytes: int = 8 << 20) -> Iterator:
+    """Batches cut into runs of rows with about ``most_bytes`` of text, so that a task's memory stays bounded."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        begin = 0
+        while begin < batch.num_rows:
+            done = size[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(size, done + most_bytes, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null counts as empty."""
     import pyarrow as pa
