@@ -1,10 +1,10 @@
 """Byte-level BPE over a corpus: each distinct pre-token is encoded once.
 
-Texts are cut into pre-tokens by the pattern and numbered inside blocks (one Arrow batch each, bounded in
-bytes): a block has a dictionary of its distinct pre-tokens and, for each text, the positions as numbers into
-that dictionary, frequent ones first. Dictionary rows are shuffled by word; distinct words are encoded by
-their merges once in the whole corpus, and the ids are joined back to the dictionary rows. Blocks then meet
-their ids, and texts are put together by position. Decoding joins ids with the table of token bytes, whose size
+Texts are cut into pre-tokens by the pattern and numbered inside blocks (runs of rows of one input partition,
+bounded in bytes): a block has a dictionary of its distinct pre-tokens and, for each text, the positions as
+numbers into that dictionary. Dictionary rows are shuffled and sorted by word, so that each distinct word of
+the corpus is encoded once and its ids join all its rows in that place. Blocks then meet their ids in a
+join by block, and texts are put together by position. Decoding joins ids with the table of token bytes, whose size
 is that of the vocabulary and checked.
 
 Null texts count as empty. Repeated rows get equal results. A common word has one row in each block, not one
@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entityops.llm.words import slices
+
 
 @dataclass(frozen=True)
 class Vocabulary:
@@ -33,6 +35,10 @@ class Vocabulary:
     most_tokens: int = 1 << 20
 
 
+#: Text of a block, and rows of the dictionary that one task holds at a time.
+_BLOCK_BYTES = 32 << 20
+_PACK_ROWS = 1 << 19
+
 _RANKS: dict[str, dict[bytes, int]] = {}
 _ENCODERS: dict[Vocabulary, object] = {}
 
@@ -56,97 +62,133 @@ def _encoder(vocabulary: Vocabulary):
     return _ENCODERS[vocabulary]
 
 
-def _blocks(batches, pattern):
-    """(block, dictionary, counts in order of the dictionary, positions of each row) of every batch."""
+def _blocks(batches):
+    """(number of the block, batch); the same scan gives the same numbers, whichever task reads it."""
     from pyspark import TaskContext
 
-    split, task = regex.compile(pattern), TaskContext.get().partitionId()
-    for number, batch in enumerate(batches):
-        seen: dict[str, int] = {}
-        places = []
-        for text in batch.column(1).to_pylist():
-            found = split.findall(text) if text else []
-            places.append(np.fromiter((seen.setdefault(w, len(seen)) for w in found), dtype=np.uint32, count=len(found)))
-        counts = np.bincount(np.concatenate([np.zeros(0, np.uint32), *places]), minlength=len(seen))
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(seen), dtype=np.uint32)
-        rank[order] = np.arange(len(seen), dtype=np.uint32)
-        yield (task << 32) + number, list(seen), rank, [rank[p] for p in places], batch
+    task = TaskContext.get().partitionId()
+    for number, batch in enumerate(slices(batches, 1, _BLOCK_BYTES)):
+        yield (task << 32) + number, batch
 
 
 def _packed(numbers: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
-    """Numbers as planes of their bytes, compressed."""
-    return press.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    """The number of low bytes that the largest number needs, then these bytes as planes, compressed."""
+    planes = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
+    return press.compress(bytes([planes]) + np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :planes].T).tobytes())
 
 
 def _unpacked(data: bytes, open_: zstandard.ZstdDecompressor) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(open_.decompress(data), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    plain = np.frombuffer(open_.decompress(data), dtype=np.uint8)
+    out = np.zeros(((len(plain) - 1) // int(plain[0]), 4), dtype=np.uint8)
+    out[:, : plain[0]] = plain[1:].reshape(int(plain[0]), -1).T
+    return out.view("<u4").ravel()
 
 
 def dictionary_rows(docs: DataFrame, text: str, pattern: str) -> DataFrame:
-    """(block, place, word): the distinct pre-tokens of each block."""
+    """(block, place, word): the distinct pre-tokens of each block in the order of their first mention."""
 
     def run(batches):
-        for block, seen, rank, _, _ in _blocks(batches, pattern):
-            for low in range(0, len(seen), 50_000):
-                part = seen[low : low + 50_000]
+        find = regex.compile(pattern).findall
+        for block, batch in _blocks(batches):
+            seen: dict[str, None] = {}
+            for value in batch.column(1):
+                seen |= dict.fromkeys(find(value.as_py() or ""))
+            words = list(seen)
+            for low in range(0, len(words), 50_000):
+                part = words[low : low + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), block)), pa.array(rank[low : low + 50_000].astype(np.int32)), pa.array(part, pa.string())], names=["block", "place", "word"]
+                    [pa.array(np.full(len(part), block)), pa.array(np.arange(low, low + len(part), dtype=np.int32)), pa.array(part, pa.string())],
+                    names=["block", "place", "word"],
                 )
 
     return docs.select(F.lit(0).alias("_"), F.col(text)).mapInArrow(run, "block long, place int, word string")
 
 
+class _Numbers(dict):
+    """Numbers of words in the order of their first mention."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 def _position_rows(docs: DataFrame, doc_id: str, text: str, pattern: str) -> DataFrame:
     """(block, doc, places): each row's positions as compressed numbers into the dictionary of its block."""
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=3)
-        for block, _, _, places, batch in _blocks(batches, pattern):
-            data = pa.array([_packed(p, press) for p in places], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), block)), batch.column(0), data], names=["block", "doc", "places"])
+        find, press = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=3)
+        for block, batch in _blocks(batches):
+            number = _Numbers().__getitem__
+            data = []
+            for value in batch.column(1):
+                words = find(value.as_py() or "")
+                data.append(_packed(np.fromiter(map(number, words), dtype=np.uint32, count=len(words)), press))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), block)), batch.column(0), pa.array(data, pa.binary())], names=["block", "doc", "places"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"block long, doc {kind}, places binary")
 
 
-def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, ids) of distinct words: ids as little-endian unsigned 32-bit integers."""
+def encode_words(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(block, places, sizes, ids): the dictionary rows' ids, packed by block.
+
+    Rows are dealt out and sorted by word, so that a word is encoded where its run of rows begins and its ids
+    go to all rows of the run. Packs hold at most ``_PACK_ROWS`` rows, whatever the partition holds.
+    """
 
     def run(batches):
-        encode = _encoder(vocabulary).encode_ordinary
+        encode, press = _encoder(vocabulary).encode_ordinary, zstandard.ZstdCompressor(level=3)
+        last, ids = None, None
+        blocks, places, found = [], [], []
+
+        def packs():
+            block, place = np.concatenate(blocks), np.concatenate(places)
+            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            flat = np.fromiter((i for part in found for i in part), dtype=np.uint32, count=int(size.sum()))
+            start = np.cumsum(size) - size
+            order = np.lexsort((place, block))
+            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                n = size[part]
+                inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                data = [_packed(x, press) for x in (place[part], n, flat[np.repeat(start[part], n) + inside])]
+                yield pa.RecordBatch.from_arrays([pa.array([int(block[part[0]])]), *[pa.array([x], pa.binary()) for x in data]], names=["block", "places", "sizes", "ids"])
+
         for batch in batches:
-            ids = [np.array(encode(w), dtype="<u4").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+            blocks.append(batch.column(0).to_numpy())
+            places.append(batch.column(1).to_numpy())
+            for word in batch.column(2).to_pylist():
+                if word != last:
+                    last, ids = word, encode(word)
+                found.append(ids)
+            if len(found) >= _PACK_ROWS:
+                yield from packs()
+                blocks, places, found = [], [], []
+        if found:
+            yield from packs()
 
-    return words.mapInArrow(run, "word string, ids binary")
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, places binary, sizes binary, ids binary")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): ids of every row's text as little-endian unsigned 32-bit integers."""
-    rows = dictionary_rows(docs, text, vocabulary.pattern)
-    ids = encode_words(rows.select("word").distinct(), vocabulary)
-    filled = rows.join(ids, "word").select("block", "place", "ids")
+    filled = encode_words(dictionary_rows(docs, text, vocabulary.pattern), vocabulary)
+    positions = _position_rows(docs, doc_id, text, vocabulary.pattern)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        place, data = left.column("place").to_numpy(), left.column("ids").combine_chunks()
-        data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
-        bounds = np.frombuffer(data.buffers()[1], dtype=np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64) // 4 if len(data) else np.zeros(1, np.int64)
-        flat = np.frombuffer(data.buffers()[2], dtype="<u4") if len(data) and data.buffers()[2] is not None else np.zeros(0, "<u4")
-        start, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-        start[place], size[place] = bounds[:-1], np.diff(bounds)
         open_ = zstandard.ZstdDecompressor()
+        place, size, flat = (np.concatenate([np.zeros(0, "<u4"), *(_unpacked(x.as_py(), open_) for x in left.column(c))]) for c in ("places", "sizes", "ids"))
+        start, count = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        start[place], count[place] = np.cumsum(size) - size, size
         out, counts = [], []
         for packed in right.column("places"):
             at = _unpacked(packed.as_py(), open_)
-            n = size[at]
+            n = count[at]
             inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             out.append(flat[np.repeat(start[at], n) + inside].tobytes())
             counts.append(len(inside))
         return pa.table({"doc_id": right.column("doc"), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out, pa.binary())})
 
-    positions = _position_rows(docs, doc_id, text, vocabulary.pattern)
     return filled.groupBy("block").cogroup(positions.groupBy("block")).applyInArrow(assemble, f"doc_id {kind}, n_tokens long, ids binary")
 
 
