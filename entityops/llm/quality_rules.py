@@ -93,8 +93,9 @@ def word_statistics(docs: DataFrame, text: str = "text", window: int = 5) -> Dat
         lambda acc, i: F.struct((i + window).alias("end"), (acc["n"] + F.least(F.lit(window), i + window - acc["end"])).alias("n")),
         lambda acc: acc["n"],
     )
-    step = step.withColumn("n_repeat_words", covered.cast("long"))
-    return step.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    # A generator of one row: no filter on the statistics moves below it, where it would repeat the steps.
+    found = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
+    return step.select(*names, F.inline(F.array(found)))
 
 
 def _row_key(doc_id: Column, host: Column, text: Column) -> Column:
