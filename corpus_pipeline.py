@@ -43,7 +43,7 @@ def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, with the digests of ids and of the bytes that they decode to."""
-    encoded = byte_bpe.decode(byte_bpe.encode(docs, byte_vocabulary()), byte_vocabulary())
+    encoded = byte_bpe.encode(docs, byte_vocabulary(), decoded=True)
     return encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -36,7 +36,7 @@ class Vocabulary:
 
 
 #: Text of a block, and rows of the dictionary that one task holds at a time.
-_BLOCK_BYTES = 32 << 20
+_BLOCK_BYTES = 16 << 20
 _PACK_ROWS = 1 << 19
 
 _RANKS: dict[str, dict[bytes, int]] = {}
@@ -169,11 +169,15 @@ def encode_words(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return rows.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, places binary, sizes binary, ids binary")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids of every row's text as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids): ids of every row's text as little-endian unsigned 32-bit integers.
+
+    With ``decoded`` the ids are also decoded again where they were put together, as ``decode`` does it.
+    """
     filled = encode_words(dictionary_rows(docs, text, vocabulary.pattern), vocabulary)
     positions = _position_rows(docs, doc_id, text, vocabulary.pattern)
     kind = docs.schema[doc_id].dataType.simpleString()
+    tokens = docs.sparkSession.sparkContext.broadcast(_byte_table(vocabulary)) if decoded else None
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor()
@@ -187,9 +191,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text
             inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             out.append(flat[np.repeat(start[at], n) + inside].tobytes())
             counts.append(len(inside))
-        return pa.table({"doc_id": right.column("doc"), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out, pa.binary())})
+        columns = {"doc_id": right.column("doc"), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out, pa.binary())}
+        if tokens is not None:
+            columns["decoded"] = pa.array([_bytes_of(data, *tokens.value) for data in out], pa.binary())
+        return pa.table(columns)
 
-    return filled.groupBy("block").cogroup(positions.groupBy("block")).applyInArrow(assemble, f"doc_id {kind}, n_tokens long, ids binary")
+    schema = f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded
+    return filled.groupBy("block").cogroup(positions.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def token_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
@@ -207,21 +215,23 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> Data
     place = names.index(ids)
 
     def run(batches):
-        first, size, flat = table.value
-        for batch in batches:
-            out = []
-            for data in batch.column(place):
-                at = np.frombuffer(data.as_py() or b"", dtype="<u4")
-                if len(at) and (at.max() >= len(size) or (size[at] < 0).any()):
-                    raise ValueError("an id is not in the token-byte table")
-                n = size[at]
-                inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                out.append(flat[np.repeat(first[at], n) + inside].tobytes())
+        for batch in slices(batches, place):
+            out = [_bytes_of(data.as_py() or b"", *table.value) for data in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
 
     return encoded.select(*names).mapInArrow(run, encoded.select(*names).schema.add("decoded", "binary"))
 
 
+def _bytes_of(ids: bytes, first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> bytes:
+    """The bytes of ids, looked up in the table of token bytes."""
+    at = np.frombuffer(ids, dtype="<u4")
+    if len(at) and (at.max() >= len(size) or (size[at] < 0).any()):
+        raise ValueError("an id is not in the token-byte table")
+    n = size[at]
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return flat[np.repeat(first[at], n) + inside].tobytes()
+
+
 def _byte_table(vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found = ranks(vocabulary)
     size = np.full(max(found.values()) + 1, -1, dtype=np.int64)

@@ -104,6 +104,5 @@ def byte_vocabulary() -> byte_bpe.Vocabulary:
 @query("op6_byte_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
-    encoded = byte_bpe.encode(_read(spark, sf_dir, "documents"), byte_vocabulary())
-    back = byte_bpe.decode(encoded, byte_vocabulary())
+    back = byte_bpe.encode(_read(spark, sf_dir, "documents"), byte_vocabulary(), decoded=True)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
