@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityops.llm import byte_bpe, decontaminate, jaccard_join, privacy, quality_rules
+from entityops.llm import byte_bpe, decontaminate, jaccard_join, privacy, quality_rules, token_files
+from entityops.llm.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +107,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
     back = byte_bpe.encode(_read(spark, sf_dir, "documents"), byte_vocabulary(), decoded=True)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of every text and reads the files back."""
+    path = f"{shared_folder(spark)}/tokens"
+    token_files.write(_read(spark, sf_dir, "documents"), path, token_files.Format(public_tokenizers.path("word_bpe_49k.json")))
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
