@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityops.llm import byte_bpe, decontaminate, jaccard_join, privacy, quality_rules, token_files
+from entityops.llm import byte_bpe, decontaminate, jaccard_join, language, privacy, quality_rules, token_files
 from entityops.llm.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens"
     token_files.write(_read(spark, sf_dir, "documents"), path, token_files.Format(public_tokenizers.path("word_bpe_49k.json")))
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, by prototypes of the documents that are not held out."""
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(language.held_out(F.col("doc_id"), 4, 2), F.lit(False)))
+    prototypes = language.fit(docs.where(~F.col("held_out")))
+    return language.predict(docs.select("doc_id", "held_out", "text"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
