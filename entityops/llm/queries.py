@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityops.llm import byte_bpe, decontaminate, jaccard_join, language, privacy, quality_rules, token_files
+from entityops.llm import byte_bpe, decontaminate, jaccard_join, language, mil_quality, privacy, quality_rules, token_files
 from entityops.llm.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(language.held_out(F.col("doc_id"), 4, 2), F.lit(False)))
     prototypes = language.fit(docs.where(~F.col("held_out")))
     return language.predict(docs.select("doc_id", "held_out", "text"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op3_mil_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from the labels that are not held out."""
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    out = F.coalesce(language.held_out(F.col("doc_id"), 5, 0), F.lit(False))
+    model = mil_quality.fit(docs, labels.where(~out))
+    scored = mil_quality.score(docs.withColumn("held_out", out), model)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
