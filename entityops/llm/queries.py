@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityops.llm import byte_bpe, decontaminate, jaccard_join, language, mil_quality, privacy, quality_rules, token_files
+from entityops.llm import byte_bpe, decontaminate, jaccard_join, language, license_scan, mil_quality, privacy, quality_rules, token_files
 from entityops.llm.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = mil_quality.fit(docs, labels.where(~out))
     scored = mil_quality.score(docs.withColumn("held_out", out), model)
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed license notices with their exact differences from the template."""
+    found = license_scan.scan(_read(spark, sf_dir, "documents"))
+    return found.withColumn("differences", F.array_join("differences", " "))
