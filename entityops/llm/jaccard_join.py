@@ -10,11 +10,12 @@ order, rare shingles first: two linked sets share at least k of the first ``n -
 * The boundary is the size at which both kinds of postings together cost least; it is computed from the
   sizes of all sets and from the lengths of the lists that frequent shingles have.
 
-Equal sets are one entity. In a list that several entities share, all are compared with the smallest
-one first. A list is settled once its members are in one component, since another link between them
+Equal sets are one entity. In a list of up to ``short`` entities all are compared; in a longer one all are
+compared with the smallest first. A longer list is settled once its members are in one component, since another link between them
 changes nothing; lists that are not go on with more pivots, each of which leaves the list when it was
 compared with every member of another component. So every list ends with each of its pairs compared or
-connected, without pairs within a group of copies. Compared pairs are checked on their whole sets.
+connected, without all pairs within a group of copies. Pairs that size and bitmap allow are checked on their
+whole sets.
 
 Null and empty texts and texts without words have an empty set and link with nothing, not even each other.
 Repeated rows get equal results. Sets are identified, and shingles compared, by 64-bit hashes.
@@ -48,8 +49,12 @@ class Join:
     frequent_in_batch: int = 4
     sketch_bits: int = 25
     pivots: tuple[int, ...] = (1, 8, 64)
+    short: int = 4
 
 
+#: Bits of a set's parity bitmap.
+_PARITY = 1024
+
 _FACTORS = W.powers(64) | np.uint64(1)
 
 
@@ -159,24 +164,26 @@ def _identity(s: np.ndarray) -> int | None:
 
 
 def _profiles(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
-    """(doc, n, sig, keys): size, identity and postings of every row's set; sig is null for an empty set."""
+    """(doc, n, sig, bits, keys): size, identity, parity bitmap and postings of every set; sig is null for an empty one."""
     sizes, frequent, count = _statistics(docs, text, join)
     limit = boundary(sizes, count, join)
     order = docs.sparkSession.sparkContext.broadcast((frequent, count))
 
     def run(batches):
         for batch in W.slices(batches, 1):
-            n, sig, keys = [], [], []
+            n, sig, keys, bits = [], [], [], []
             for _, s in _sets(batch, 1, join.width):
                 n.append(len(s))
                 sig.append(_identity(s))
+                bits.append(np.packbits(np.bincount((s & np.uint64(_PARITY - 1)).astype(np.int64), minlength=_PARITY) & 1).tobytes() if len(s) else None)
                 keys.append(_postings(s, limit, *order.value, join).view(np.int64) if len(s) else s.view(np.int64))
             bounds = np.concatenate(([0], np.cumsum([len(k) for k in keys], dtype=np.int64))).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), flat)], names=["doc", "n", "sig", "keys"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sig", "bits", "keys"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc {kind}, n long, sig long, keys array<long>")
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc {kind}, n long, sig long, bits binary, keys array<long>")
 
 
 def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
@@ -189,12 +196,34 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, owners: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
+def _possible(pairs: DataFrame, entities: DataFrame, join: Join) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose sets can link, by size and by bitmap.
+
+    Bit i of a set's bitmap tells whether it has an odd number of shingles with hash i. The bits in which
+    two bitmaps differ are at most as many as the shingles in which the sets differ, so no link is lost.
+    """
+    left = pairs.join(entities.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
+    both = left.join(entities.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
+    percent = join.percent
+
+    def near(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
+                apart = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+                sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+                batch = batch.filter(pa.array(apart * (100 + percent) <= (100 - percent) * sizes))
+            yield batch.select([0, 1])
+
+    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(near, "a long, b long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, entities: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
     """The rows (a, b) of ``pairs`` whose sets link. Only texts that a fixed-size bitmap lets through are shuffled.
 
     Sets are sent as 48-bit prefixes of their hashes.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(owners, "sig").select("sig", F.xxhash64("doc").alias("h"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(entities, "sig").select("sig", F.xxhash64("doc").alias("h"))
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("h"), join.sketch_bits))
     bits = join.sketch_bits
 
@@ -239,27 +268,27 @@ def _links(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str, join: J
     posted = profiles.select("sig", "n", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key")
     lists = table(posted.join(shared, "key").distinct(), "lists", folder)
-    owners = profiles.where("sig is not null").groupBy("sig").agg(F.min("doc").alias("doc"))
+    entities = profiles.where("sig is not null").groupBy("sig").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("bits").alias("bits"))
+    entities = table(entities, "entities", folder)
     edges, found, number = None, None, 0
     while True:
         many = join.pivots[min(number, len(join.pivots) - 1)]
-        if found is not None:
+        if found is None:
+            lists = lists.withColumn("root", F.col("sig"))
+        else:
             known = lists.join(found.select(F.col("node").alias("sig"), "root"), "sig", "left").select("key", "sig", "n", F.coalesce("root", "sig").alias("root"))
             open_ = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
             lists = table(known.join(open_, "key"), f"lists-{number}", folder)
-        else:
-            lists = lists.withColumn("root", F.col("sig"))
-        if many == 1:
-            pivots = lists.groupBy("key").agg(F.min_by(F.struct("sig", "n", "root"), "sig").alias("p"))
-        else:
-            order = Window.partitionBy("key").orderBy("sig")
-            pivots = lists.withColumn("k", F.row_number().over(order)).where(F.col("k") <= many).select("key", F.struct("sig", "n", "root").alias("p"))
+        ranked = lists.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("sig"))).where(F.col("k") <= max(many, join.short))
+        length = lists.groupBy("key").agg(F.count("*").alias("length")).where(F.col("length") <= join.short).select("key", F.lit(join.short).alias("most"))
+        pivots = ranked.join(length, "key", "left").where(F.col("k") <= F.coalesce("most", F.lit(many))).select("key", F.struct("sig", "n", "root").alias("p"))
+        pivots = table(pivots, f"pivots-{number}", folder)
         near = (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * join.percent) & (F.col("root") != F.col("p.root"))
         pairs = lists.join(pivots, "key").where(near).select(F.greatest("sig", "p.sig").alias("a"), F.least("sig", "p.sig").alias("b")).distinct()
-        pairs = table(pairs, f"pairs-{number}", folder)
+        pairs = table(_possible(pairs, entities, join), f"pairs-{number}", folder)
         last = lists.join(pivots.select("key", F.col("p.sig").alias("sig")), ["key", "sig"], "left_anti").select("key", "sig", "n")
         if not pairs.isEmpty():
-            new = table(_verified(docs, pairs, owners, doc_id, text, join), f"edges-{number}", folder)
+            new = table(_verified(docs, pairs, entities, doc_id, text, join), f"edges-{number}", folder)
             edges = new if edges is None else edges.union(new)
             found = table(components(edges, f"{folder}/round-{number}"), f"found-{number}", folder)
         lists = table(last, f"rest-{number}", folder)
