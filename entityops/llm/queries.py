@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityops.llm import byte_bpe, decontaminate, jaccard_join, language, license_scan, mil_quality, privacy, quality_rules, token_files
+from entityops.llm import byte_bpe, decontaminate, html_blocks, jaccard_join, language, license_scan, mil_quality, privacy, quality_rules, token_files
 from entityops.llm.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confirmed license notices with their exact differences from the template."""
     found = license_scan.scan(_read(spark, sf_dir, "documents"))
     return found.withColumn("differences", F.array_join("differences", " "))
+
+
+@query("op10_html_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _read(spark, sf_dir, "pages")
+    model = html_blocks.fit(pages)
+    return html_blocks.main_text(pages.select("page_id", "url", "html"), model).drop("html")
