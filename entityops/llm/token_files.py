@@ -14,6 +14,7 @@ stay all, ordered by their frames.
 from __future__ import annotations
 
 import hashlib
+import string
 import zlib
 from dataclasses import dataclass
 
@@ -41,7 +42,8 @@ class Format:
 
 
 #: Words with their ids that one Python process remembers; beyond it forgets all and begins anew.
-_MOST_WORDS = 600_000
+_MOST_WORDS = 1_200_000
+_TAIL = string.punctuation.replace("'", "")
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -68,17 +70,22 @@ def _serialized(texts: list[str], path: str, end_id: int) -> list[bytes]:
     """
     tokenizer, width, known = _tokenizer(path)
     pieces = [t.encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
-    new = set().union(*pieces) - known.keys()
+    new = {w for p in pieces for w in p if w not in known}
     if len(known) + len(new) > _MOST_WORDS:
         known.clear()
-        new = set().union(*pieces)
-    words = sorted(new)
+        new = {w for p in pieces for w in p}
+    # Behind a letter or digit, punctuation without an apostrophe is always a token of its own.
+    tails = {w: w[len(c) :] for w in new if (c := w.rstrip(_TAIL)) and len(c) < len(w) and c[-1].isalnum()}
+    plain = {w[: -len(t)] for w, t in tails.items()}.union(tails.values(), new.difference(tails)) - known.keys()
+    words = sorted(plain)
     for low in range(0, len(words), 2000):
         part = words[low : low + 2000]
         found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(found.ids, dtype=f"<u{width}")
-        bounds = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part) + 1))
-        known.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        bounds = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * width
+        data = ids.tobytes()
+        known.update((w, data[a:b]) for w, a, b in zip(part, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+    known.update((w, known[w[: -len(t)]] + known[t]) for w, t in tails.items())
     end = np.array([end_id], dtype=f"<u{width}").tobytes()
     return [b"".join(map(known.__getitem__, p)) + end for p in pieces]
 
@@ -125,7 +132,10 @@ def write(docs: DataFrame, path: str, form: Format, doc_id: str = "doc_id", text
     spark.createDataFrame([(mark, bytearray(data), width)], "hash string, data binary, width int").coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
 
     def frames(batches):
-        press = zstandard.ZstdCompressor(level=form.level, dict_data=_dictionary(shared.value))
+        words = _dictionary(shared.value)
+        if words:
+            words.precompute_compress(level=form.level)
+        press = zstandard.ZstdCompressor(level=form.level, dict_data=words)
         for batch in slices(batches, 1):
             ids = _serialized([t or "" for t in batch.column(1).to_pylist()], form.tokenizer, form.end_id)
             place = np.nan_to_num(batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64), nan=-np.inf)
