@@ -45,10 +45,10 @@ class Join:
     width: int = 4
     percent: int = 85
     subset: int = 3
-    frequent: int = 1 << 17
-    frequent_in_batch: int = 4
+    frequent: int = 1 << 19
+    frequent_in_batch: int = 2
     sketch_bits: int = 25
-    pivots: tuple[int, ...] = (1, 8, 64)
+    pivots: tuple[int, ...] = (1, 64, 512)
     short: int = 4
 
 
