@@ -164,8 +164,8 @@ def _run(m: dict[str, np.ndarray], side: str, x: np.ndarray, live: np.ndarray) -
     steps, batch, _ = x.shape
     n = m[f"{side}_u"].shape[0]
     given = x @ m[f"{side}_w"]
-    h, c = np.zeros((steps + 1, batch, n), np.float32), np.zeros((steps + 1, batch, n), np.float32)
-    gates, squash = np.zeros((steps, batch, 4 * n), np.float32), np.zeros((steps, batch, n), np.float32)
+    h, c = np.zeros((steps + 1, batch, n), given.dtype), np.zeros((steps + 1, batch, n), given.dtype)
+    gates, squash = np.zeros((steps, batch, 4 * n), given.dtype), np.zeros((steps, batch, n), given.dtype)
     order = range(steps) if side == "f" else range(steps - 1, -1, -1)
     for t in order:
         past = t if side == "f" else t + 1
@@ -185,8 +185,8 @@ def _run(m: dict[str, np.ndarray], side: str, x: np.ndarray, live: np.ndarray) -
 def _back(m: dict[str, np.ndarray], side: str, x: np.ndarray, live: np.ndarray, f: dict[str, np.ndarray], dh_out: np.ndarray, grad: dict[str, np.ndarray]) -> None:
     steps, batch, _ = x.shape
     n = m[f"{side}_u"].shape[0]
-    dz_all = np.zeros((steps, batch, 4 * n), np.float32)
-    dh, dc = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32)
+    dz_all = np.zeros((steps, batch, 4 * n), dh_out.dtype)
+    dh, dc = np.zeros((batch, n), dh_out.dtype), np.zeros((batch, n), dh_out.dtype)
     for t in range(steps - 1, -1, -1) if side == "f" else range(steps):
         past = t if side == "f" else t + 1
         on = live[t][:, None]
@@ -237,7 +237,7 @@ def _labels(m: dict[str, np.ndarray], x: np.ndarray, live: np.ndarray) -> tuple[
 def gradient(m: dict[str, np.ndarray], x: np.ndarray, live: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean cross-entropy over live blocks."""
     p, ahead, behind = _labels(m, x, live)
-    d = (np.where(live, p - y, 0) / live.sum()).astype(np.float32)
+    d = (np.where(live, p - y, 0) / live.sum()).astype(p.dtype)
     grad = {k: np.zeros_like(v) for k, v in m.items()}
     both = np.concatenate((ahead["h"][1:], behind["h"][:-1]), axis=2)
     grad["out"], grad["out_b"] = np.einsum("tb,tbn->n", d, both), d.sum(keepdims=True).reshape(1)
