@@ -56,3 +56,16 @@ def number_rows(
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return numbered.join(offsets, same).select(*df.columns, (F.col("_local") + F.col("_offset")).alias(name))
+
+
+def padded(number: Column, width: int) -> Column:
+    """A whole number as text that sorts by its value: zeros in front, and one tilde for every digit past ``width``."""
+    text = number.cast("string")
+    over = F.length(text) - width
+    return F.when(over > 0, F.concat(F.repeat(F.lit("~"), over), text)).otherwise(F.lpad(text, width, "0"))
+
+
+def order_text(df: DataFrame, name: str, width: int = 12) -> Column:
+    """The ordinal column ``name`` as text that sorts like it; text stays as it is."""
+    whole = df.schema[name].dataType.typeName() in ("byte", "short", "integer", "long")
+    return padded(F.col(name), width) if whole else F.col(name).cast("string")

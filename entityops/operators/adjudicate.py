@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from entityops import constants as C
 from entityops.functions import identifiers as I
 from entityops.functions import text as T
-from entityops.functions.ordering import first_row, number_rows, top_rows
+from entityops.functions.ordering import first_row, number_rows, order_text, padded, top_rows
 
 PATH_KEYS = ["bundle_id", "path"]
 
@@ -83,7 +83,7 @@ def flatten_options(extractions: DataFrame, bindings: DataFrame, documents: Data
         F.coalesce("_p.pre_selected", F.lit(False)).alias("pre_selected"),
         F.col("_p.needs_resolution").alias("needs_resolution"),
         F.coalesce("_p.regex_ok", F.lit(True)).alias("regex_ok"),
-        F.concat_ws("-", F.col("_doc").cast("string"), F.lpad(F.col("_at").cast("string"), 4, "0")).alias("ordinal"),
+        F.concat_ws("-", order_text(exploded, "_doc"), padded(F.col("_at"), 4)).alias("ordinal"),
     )
     bound = first_row(
         resolve_bindings(bindings).select(
@@ -303,7 +303,7 @@ def bundle_checks(
     valid = F.when(F.col("_v.ok"), F.col("_v.normalised"))
     singleton = (
         judged.groupBy("bundle_id", "logical_id")
-        .agg(F.min(valid).alias("_lo"), F.max(valid).alias("_hi"), F.min("path").alias("path"), F.min("ordinal").alias("_o"))
+        .agg(F.min(valid).alias("_lo"), F.max(valid).alias("_hi"), F.min_by("path", "ordinal").alias("path"), F.min("ordinal").alias("_o"))
         .where("_lo <> _hi")
         .select(
             "bundle_id", F.concat(F.lit("id_"), F.col("logical_id"), F.lit("_singleton")).alias("check_id"),
@@ -368,6 +368,25 @@ def bundle_checks(
     return reduce(DataFrame.unionByName, [p.select(*CHECK_COLUMNS) for p in parts])
 
 
+def check_targets(options: DataFrame, checks: DataFrame) -> DataFrame:
+    """(bundle_id, check_id, status, severity, ordinal, place, path, logical_id): all that a check is about.
+
+    Place 0 is the first path. A field that may have one value only names every path that proposes it, and a
+    tax identifier that embeds another registration number names both.
+    """
+    keep = ["bundle_id", "check_id", "status", "severity", "ordinal"]
+    columns = [*keep, "place", "path", "logical_id"]
+    first = checks.withColumn("place", F.lit(0)).select(*columns)
+    failed = checks.where("status = 'fail'")
+    paths = options.where(F.col("logical_id").isNotNull()).groupBy("bundle_id", "logical_id", "path").agg(F.min("ordinal").alias("_at"))
+    several = failed.where(F.col("check_id") == F.concat(F.lit("id_"), F.col("logical_id"), F.lit("_singleton")))
+    others = several.withColumnRenamed("path", "_first").join(paths, ["bundle_id", "logical_id"]).where("path <> _first")
+    second = paths.where("logical_id = 'pan'").groupBy("bundle_id").agg(F.min_by("path", "_at").alias("path"), F.first("logical_id").alias("logical_id"))
+    crossed = failed.where("check_id = 'cross_gstin_embeds_pan'").drop("path", "logical_id").join(second, "bundle_id")
+    rest = [df.withColumn("place", F.lit(1)).select(*columns) for df in (others, crossed)]
+    return reduce(DataFrame.unionByName, [first, *rest])
+
+
 def min_pairwise_similarity(
     options: DataFrame, fields: dict[str, float]
 ) -> DataFrame:
@@ -440,7 +459,7 @@ def overlap_existing(new_documents: DataFrame, existing: DataFrame) -> tuple[Dat
         "bundle_id", F.concat(F.lit("duplicate_doc_type_"), F.col("doc_type")).alias("check_id"),
         F.lit("warn").alias("status"), F.lit("warn").alias("severity"), F.lit(None).cast("string").alias("path"),
         F.lit(None).cast("string").alias("logical_id"), F.lit("stored earlier").alias("reason"),
-        F.concat(F.lit("7-"), F.col("ordinal").cast("string")).alias("ordinal"),
+        F.concat(F.lit("7-"), order_text(stored, "ordinal")).alias("ordinal"),
     )
     observed = stored.select("bundle_id", "doc_type", "ordinal", F.replace("doc_type", F.lit("_"), F.lit(" ")).alias("message"))
     return warned, observed
@@ -468,7 +487,7 @@ def merge_cached(live: DataFrame, cached: DataFrame) -> DataFrame:
         ),
     ).cast(patch_type)
     restored = first.select(
-        "bundle_id", "document_id", "doc_type", "effective_date", F.concat(F.lit("~"), F.col("ordinal").cast("string")).alias("ordinal"),
+        "bundle_id", "document_id", "doc_type", "effective_date", F.concat(F.lit("~"), order_text(first, "ordinal")).alias("ordinal"),
         patches.alias("patches"), F.lit(True).alias("from_cache"),
     )
     return live.withColumn("from_cache", F.lit(False)).unionByName(restored)
@@ -484,11 +503,12 @@ def compare_to_master(options: DataFrame, master: DataFrame) -> DataFrame:
     joined = first.join(known, PATH_KEYS)
     current, incoming = T.strip(F.col("current")), T.strip(F.col("value"))
     is_id = F.col("path").contains("taxIdentification") | F.col("path").endswith("gstin") | F.col("path").contains("postalCode")
-    fuzzy = ~is_id & (F.col("value_type") != "boolean")
+    kind = F.coalesce("value_type", F.lit("string"))
+    fuzzy = ~is_id & (kind != "boolean")
     alike = T.token_sort_ratio(F.when(fuzzy, current), F.when(fuzzy, incoming)) >= 0.92
     truth = F.col("value").isNotNull() & (F.lower(incoming).isin("", "false", "0") == F.lower(current).isin("", "false", "0"))
     same = (
-        F.when(F.col("value_type") == "boolean", truth)
+        F.when(kind == "boolean", truth)
         .when(F.coalesce(incoming, F.lit("")) == "", F.lit(False))
         .when(is_id, T.norm_id(current) == T.norm_id(incoming))
         .otherwise(alike)
@@ -502,11 +522,11 @@ def compare_to_master(options: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def clear_preselect(options: DataFrame, checks: DataFrame) -> DataFrame:
-    """In bundles with a blocking failure, drop the pre-selection of the failed paths and fields."""
-    failed = checks.where("status = 'fail'")
+    """In bundles with a blocking failure, drop the pre-selection of first failed paths and all failed fields."""
+    failed = check_targets(options, checks).where("status = 'fail'")
     blocking = failed.where("severity = 'block'").select("bundle_id").distinct()
     failed = failed.join(blocking, "bundle_id", "left_semi")
-    paths = failed.where("path IS NOT NULL").select(*PATH_KEYS).distinct().withColumn("_bad_path", F.lit(True))
+    paths = failed.where("path IS NOT NULL AND place = 0").select(*PATH_KEYS).distinct().withColumn("_bad_path", F.lit(True))
     fields = failed.where("logical_id IS NOT NULL").select("bundle_id", "logical_id").distinct().withColumn("_bad_field", F.lit(True))
     bad = F.coalesce("_bad_path", F.lit(False)) | F.coalesce("_bad_field", F.lit(False))
     return (
@@ -559,7 +579,7 @@ def field_verdicts(
         *PATH_KEYS, "label", action.alias("action"), F.col("winner_option_key").alias("option_key"),
         F.concat(F.lit("1-"), F.col("ordinal")).alias("ordinal"),
     )
-    blocked = checks.where("status = 'fail' AND severity = 'block' AND path IS NOT NULL")
+    blocked = check_targets(options, checks).where("status = 'fail' AND severity = 'block' AND path IS NOT NULL")
     owners = first_row(options.select(*PATH_KEYS, "label", "ordinal"), PATH_KEYS, [F.col("ordinal")]).select(*PATH_KEYS, "label")
     rejected = blocked.join(owners, PATH_KEYS).select(
         *PATH_KEYS, "label", F.lit("reject").alias("action"), F.lit(None).cast("string").alias("option_key"),
@@ -684,7 +704,7 @@ def audit_trail(
 
     def steps(df: DataFrame, phase: int, kind: str, ref: Column) -> DataFrame:
         return df.select(
-            "bundle_id", F.lit(phase).alias("phase"), F.lit(kind).alias("kind"), ref.alias("ref"), F.col("ordinal").cast("string").alias("ordinal")
+            "bundle_id", F.lit(phase).alias("phase"), F.lit(kind).alias("kind"), ref.alias("ref"), order_text(df, "ordinal").alias("ordinal")
         )
 
     parts = [

@@ -427,15 +427,19 @@ def doc_matches_country(country: Column, doc_type: Column) -> Column:
 # --- guards on values from outside -----------------------------------------------------------
 
 
-def guard_verdicts(raw: DataFrame, candidates: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+def _shown(text: Column, length: int | None) -> Column:
+    return T.strip(text) if length is None else T.strip(text).substr(1, length)
+
+
+def guard_verdicts(raw: DataFrame, candidates: DataFrame, group: str, reason_length: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(verdicts, ranking) restricted to known ids.
 
     raw: group, id, verdict, reason, ordinal; candidates: group, id, ordinal.  The first verdict per id
-    counts; ids that were not ranked follow in their own order.
+    counts; reasons are whole unless ``reason_length`` is given; ids that were not ranked follow in their own order.
     """
     cleaned = raw.select(
-        group, T.strip(F.col("id")).substr(1, 120).alias("id"), F.lower(T.strip(F.col("verdict"))).alias("verdict"),
-        F.nullif(T.strip(F.col("reason")).substr(1, 200), F.lit("")).alias("reason"), "ordinal",
+        group, T.strip(F.col("id")).alias("id"), F.lower(T.strip(F.col("verdict"))).alias("verdict"),
+        F.nullif(_shown(F.col("reason"), reason_length), F.lit("")).alias("reason"), "ordinal",
     ).where("id <> ''")
     known = cleaned.join(candidates.select(group, "id").distinct(), [group, "id"], "left_semi")
     verdicts = first_row(known.where(F.col("verdict").isin("same", "likely", "different")), [group, "id"], [F.col("ordinal")])
@@ -449,7 +453,7 @@ def guard_verdicts(raw: DataFrame, candidates: DataFrame, group: str) -> tuple[D
 def guard_scores(raw: DataFrame, candidates: DataFrame, group: str) -> DataFrame:
     """Similarity scores of known ids, clamped to 0..100; rows without any usable score are dropped."""
     rows = raw.select(
-        group, T.strip(F.col("id")).substr(1, 120).alias("id"), T.clamp_score(F.col("name_score")).alias("name_score"),
+        group, T.strip(F.col("id")).alias("id"), T.clamp_score(F.col("name_score")).alias("name_score"),
         T.clamp_score(F.col("address_score")).alias("address_score"),
     )
     return rows.where("name_score IS NOT NULL OR address_score IS NOT NULL").join(
@@ -462,7 +466,7 @@ def guard_terms(raw: DataFrame, tried: DataFrame, group: str, limit: int = 6) ->
 
     raw: group, term, ordinal; tried: group, term.
     """
-    rows = raw.select(group, T.strip(F.col("term")).substr(1, 200).alias("term"), "ordinal").where("term <> ''")
+    rows = raw.select(group, T.strip(F.col("term")).alias("term"), "ordinal").where("term <> ''")
     rows = rows.withColumn("_key", F.lower("term"))
     distinct = first_row(rows, [group, "_key"], [F.col("ordinal")])
     listed = top_rows(distinct, [group], [F.col("ordinal")], limit)

@@ -39,22 +39,24 @@ def last_write_union(patches: DataFrame) -> DataFrame:
 def apply_patches(records: DataFrame, patches: DataFrame) -> DataFrame:
     """Records after the patches: untouched cells plus the last value of every patched path.
 
-    A patch on a path drops what was stored below it, as replacing a nested value does.
+    A patch on a path drops what was stored below it, and what an earlier patch wrote below it, as
+    replacing a nested value does.
     """
-    written = last_row(patches.select(*PATH, "value", "ordinal"), PATH, [F.col("ordinal")]).drop("ordinal")
-    kept = records.select(*PATH, "value").join(written.select(*PATH), PATH, "left_anti")
-    parents = written.select("record_id", F.col("path").alias("_parent"))
-    cells = kept.withColumn("_at", F.split("path", r"\."))
+    written = last_row(patches.select(*PATH, "value", "ordinal"), PATH, [F.col("ordinal")])
+    parents = written.select("record_id", F.col("path").alias("_parent"), F.col("ordinal").alias("_parent_at"))
+    patched = records.join(written.select("record_id").distinct(), "record_id", "left_semi").select(*PATH)
+    stored = patched.join(written.select(*PATH), PATH, "left_anti").withColumn("ordinal", F.lit(None).cast(written.schema["ordinal"].dataType))
+    cells = stored.unionByName(written.select(*PATH, "ordinal")).withColumn("_at", F.split("path", r"\."))
     depth = F.size("_at")
     above = F.transform(
         F.when(depth > 1, F.sequence(F.lit(1), depth - 1)).otherwise(F.array().cast("array<int>")),
         lambda n: F.array_join(F.slice("_at", F.lit(1), n), "."),
     )
-    covered = (
-        cells.select("record_id", "path", F.explode(above).alias("_parent")).join(parents, ["record_id", "_parent"], "left_semi")
-        .select(*PATH).distinct()
-    )
-    return kept.join(covered, PATH, "left_anti").unionByName(written)
+    below = cells.select("record_id", "path", "ordinal", F.explode(above).alias("_parent")).join(parents, ["record_id", "_parent"])
+    covered = below.where("ordinal IS NULL OR ordinal < _parent_at").select(*PATH)
+    gone = covered.unionByName(written.select(*PATH)).distinct()
+    kept = records.select(*PATH, "value").join(gone, PATH, "left_anti")
+    return kept.unionByName(written.select(*PATH, "value").join(covered.distinct(), PATH, "left_anti"))
 
 
 def merge_plan(patches: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFrame]:

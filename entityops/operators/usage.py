@@ -60,7 +60,7 @@ def usage_summary(generations: DataFrame, as_of: Column, days: int = 7, include_
     Costs are settled per trace name (and per model), as a metrics query returns them, from one pass
     with grouping sets; without tests, the totals are the sum over the features.
     """
-    period = min(max(days, 1), 90)
+    period = max(days, 1)
     rows = generations.where((F.col("ts") > as_of - F.expr(f"interval {period} days")) & (F.col("ts") <= as_of))
     facts = rows.select(
         F.coalesce("name", F.lit("unknown")).alias("name"), F.coalesce("model", F.lit("unknown")).alias("model"),
@@ -92,7 +92,7 @@ def feature_trace_names(generations: DataFrame) -> DataFrame:
 def recent_generations(generations: DataFrame, limit: int = 25, include_tests: bool = False) -> DataFrame:
     """The newest generations; tests are filtered before the limit, so no over-fetch is needed."""
     rows = generations if include_tests else exclude_test_traces(generations)
-    newest = rows.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(min(max(limit, 1), 100))
+    newest = rows.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(max(limit, 1))
     return estimate_cost(newest.withColumn("feature", feature_of(F.col("name"))))
 
 
@@ -208,7 +208,7 @@ def run_entries(events: DataFrame) -> DataFrame:
 
 def run_summary(events: DataFrame, limit: int = 50) -> DataFrame:
     """Counts of the most recently updated runs."""
-    return run_state(events).orderBy(F.col("updated_at").desc(), F.col("last_ordinal").desc()).limit(min(max(limit, 1), 200))
+    return run_state(events).orderBy(F.col("updated_at").desc(), F.col("last_ordinal").desc()).limit(max(limit, 1))
 
 
 def change_summary(changes: DataFrame, paths: int = 5) -> DataFrame:

@@ -613,3 +613,78 @@ def score_addresses(t):
 def rank_candidates(t):
     scored = A.score_address_candidates(address_candidates(t), stored_addresses(t))
     return A.rank_candidates(scored).select("bundle_id", "candidate_key", "alignment_score", "recommended", "bundle_alignment")
+
+
+_ID_PATHS = "SELECT * REPLACE (concat('form.', logical_id, CASE WHEN logical_id = 'pan' AND starts_with(ordinal, '02') THEN '.second' ELSE '' END) AS path) FROM v_idoptions"
+_ID_TARGETS = f"""opts AS ({_ID_PATHS}),
+valid AS (SELECT *, upper(regexp_replace(value, '\\s+', '', 'g')) AS nv,
+    regexp_matches(upper(regexp_replace(value, '\\s+', '', 'g')), CASE logical_id WHEN 'pan' THEN '{C.PAN}' ELSE '{C.GSTIN_SHAPES}' END) AS ok
+  FROM opts WHERE logical_id IN ('pan', 'gstin')),
+firsts AS (SELECT bundle_id, arg_min(nv, ordinal) FILTER (logical_id = 'gstin') AS g, arg_min(ok, ordinal) FILTER (logical_id = 'gstin') AS gok,
+    arg_min(path, ordinal) FILTER (logical_id = 'gstin') AS gpath, arg_min(nv, ordinal) FILTER (logical_id = 'pan') AS p,
+    arg_min(ok, ordinal) FILTER (logical_id = 'pan') AS pok, arg_min(path, ordinal) FILTER (logical_id = 'pan') AS ppath FROM valid GROUP BY 1),
+crossed AS (SELECT * FROM firsts WHERE gok AND pok AND regexp_matches(substr(g, 3, 10), '{C.PAN}') AND substr(g, 3, 10) <> p),
+several AS (SELECT bundle_id, logical_id FROM valid WHERE ok GROUP BY ALL HAVING count(DISTINCT nv) > 1),
+targets AS (
+  SELECT bundle_id, concat('identifier_shape_', logical_id) AS check_id, path, logical_id, true AS leads FROM valid WHERE NOT ok
+  UNION SELECT bundle_id, concat('id_', logical_id, '_singleton'), path, logical_id, row_number() OVER (PARTITION BY bundle_id, logical_id ORDER BY ordinal) = 1
+    FROM valid SEMI JOIN several USING (bundle_id, logical_id)
+  UNION SELECT bundle_id, 'cross_gstin_embeds_pan', gpath, 'gstin', true FROM crossed
+  UNION SELECT bundle_id, 'cross_gstin_embeds_pan', ppath, 'pan', false FROM crossed)"""
+
+
+def identifier_options(t):
+    """Identifier proposals in the options shape; the second line of an order has its own path."""
+    second = (F.col("logical_id") == "pan") & F.col("ordinal").startswith("02")
+    return t.v_idoptions().withColumns(
+        {
+            "path": F.concat(F.lit("form."), "logical_id", F.when(second, ".second").otherwise("")),
+            "label": F.col("logical_id"),
+            "pre_selected": F.lit(True),
+            "needs_resolution": F.lit(None).cast("string"),
+            "option_key": F.col("ordinal"),
+        }
+    )
+
+
+def identifier_checks(options):
+    return A.bundle_checks(options, {"pan": "pan", "gstin": "gstin"})
+
+
+@query(
+    "agg_11_check_targets",
+    f"WITH {_ID_TARGETS} SELECT DISTINCT bundle_id, check_id, path, logical_id FROM targets",
+    ("v_lines", "v_idoptions"),
+)
+def check_targets(t):
+    """Every path and field of a failed check."""
+    options = identifier_options(t)
+    failed = A.check_targets(options, identifier_checks(options)).where("status = 'fail'")
+    return failed.select("bundle_id", "check_id", "path", "logical_id").distinct()
+
+
+@query(
+    "flt_8_clear_all_targets",
+    f"""WITH {_ID_TARGETS} SELECT bundle_id, ordinal AS option_key, NOT EXISTS (SELECT 1 FROM targets k
+  WHERE k.bundle_id = o.bundle_id AND ((k.leads AND k.path = o.path) OR k.logical_id = o.logical_id)) AS pre_selected FROM opts o""",
+    ("v_lines", "v_idoptions"),
+)
+def clear_all_targets(t):
+    """A mismatch of two identifiers clears the options of both."""
+    options = identifier_options(t)
+    return A.clear_preselect(options, identifier_checks(options)).select("bundle_id", "option_key", "pre_selected")
+
+
+@query(
+    "agg_13_reject_all_targets",
+    f"WITH {_ID_TARGETS} SELECT DISTINCT bundle_id, path, logical_id AS label FROM targets",
+    ("v_lines", "v_idoptions"),
+)
+def reject_all_targets(t):
+    """A mismatch of two identifiers rejects the paths of both."""
+    options = identifier_options(t)
+    checks = identifier_checks(options)
+    profile = A.path_profile(options.withColumns({"display": F.col("value"), "doc_type": F.lit("DOC"), "effective_date": F.lit(None).cast("date"), "document_id": F.col("ordinal"), "regex_ok": F.lit(True)}))
+    conflicts, freshness = A.conflicts_of(profile), A.freshness_of(profile)
+    verdicts = A.field_verdicts(options, conflicts, checks, A.conflict_winner_from_freshness(conflicts, freshness))
+    return verdicts.where("action = 'reject'").select("bundle_id", "path", "label").distinct()

@@ -150,10 +150,13 @@ ops AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'update' WHEN p_partkey % 4 = 1
 ch1 AS (SELECT op, CASE WHEN op = 'insert' THEN p_partkey + 1000000000 WHEN p_partkey % 8 = 1 THEN p_partkey + 2000000000 ELSE p_partkey END AS id, upper(p_brand) AS country,
   upper(CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ' ', p_partkey) WHEN 1 THEN concat('new ', p_type) ELSE concat(p_name, ' ', p_partkey + 1) END) AS doc, 1 AS sort_order, p_partkey AS ordinal FROM ops),
 ch AS (SELECT * FROM ch1 UNION ALL SELECT op, id, country, doc, sort_order, ordinal + 10000000000 FROM ch1 WHERE op = 'update' AND id % 5 = 0),
-judged AS (SELECT c.*, CASE WHEN c.ordinal > min(c.ordinal) OVER (PARTITION BY c.id) THEN 'repeated row' WHEN op <> 'insert' AND k.id IS NULL THEN 'unknown row'
-    WHEN op = 'insert' AND k.id IS NOT NULL THEN 'row exists' WHEN op <> 'delete' AND h.id IS NOT NULL AND h.id <> c.id THEN 'key taken'
-    WHEN op <> 'delete' AND c.ordinal > min(c.ordinal) FILTER (op <> 'delete') OVER (PARTITION BY c.country, c.doc) THEN 'key claimed earlier' END AS reason
-  FROM ch c LEFT JOIN tab k ON k.id = c.id LEFT JOIN tab h ON h.country = c.country AND h.doc = c.doc)"""
+one AS (SELECT c.*, h.id AS holder, CASE WHEN c.ordinal > min(c.ordinal) OVER (PARTITION BY c.id) THEN 'repeated row' WHEN op <> 'insert' AND k.id IS NULL THEN 'unknown row'
+    WHEN op = 'insert' AND k.id IS NOT NULL THEN 'row exists' END AS r1
+  FROM ch c LEFT JOIN tab k ON k.id = c.id LEFT JOIN tab h ON h.country = c.country AND h.doc = c.doc),
+two AS (SELECT o.* REPLACE (coalesce(r1, CASE WHEN op <> 'delete' AND holder <> id AND NOT EXISTS (
+    SELECT 1 FROM one d WHERE d.op = 'delete' AND d.r1 IS NULL AND d.id = o.holder AND d.ordinal < o.ordinal) THEN 'key taken' END) AS r1) FROM one o),
+judged AS (SELECT *, coalesce(r1, CASE WHEN op <> 'delete' AND ordinal > min(ordinal) FILTER (op <> 'delete' AND r1 IS NULL) OVER (PARTITION BY country, doc)
+    THEN 'key claimed earlier' END) AS reason FROM two)"""
 
 
 @query(

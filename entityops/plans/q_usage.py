@@ -73,7 +73,7 @@ def feature_names(t):
 
 @query(
     "srt_2_recent_generations",
-    f"""SELECT event_id, {_FEATURE} AS feature, CAST({_COST} AS DOUBLE) AS cost_usd FROM (SELECT * FROM v_generations WHERE NOT {_TEST} ORDER BY ts DESC, event_id DESC LIMIT 100)""",
+    f"""SELECT event_id, {_FEATURE} AS feature, CAST({_COST} AS DOUBLE) AS cost_usd FROM (SELECT * FROM v_generations WHERE NOT {_TEST} ORDER BY ts DESC, event_id DESC LIMIT 250)""",
     _GEN,
 )
 def recent_generations(t):
@@ -186,7 +186,7 @@ def known_runs(t):
 
 @query(
     "agg_18_run_summary",
-    f"WITH {_RUNS} SELECT run_id, stage_count, tool_call_count FROM state ORDER BY updated_at DESC, last_ordinal DESC LIMIT 200",
+    f"WITH {_RUNS} SELECT run_id, stage_count, tool_call_count FROM state ORDER BY updated_at DESC, last_ordinal DESC LIMIT 500",
     ("v_runs",),
 )
 def run_summary(t):

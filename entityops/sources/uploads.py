@@ -36,8 +36,11 @@ def upload_scan(
     they are reported too.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # The source pushes a filter on length down and lists sizes without reading; only small files are read.
+    large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    small = files.where(F.col("length") <= max_bytes).select("path", "length", "content")
     verdict = upload_verdict(F.col("content"), F.col("length"), max_bytes, allowed)
-    found = files.select("path", "length", verdict.alias("v")).select("path", "length", "v.status", "v.mime")
+    found = small.unionByName(large).select("path", "length", verdict.alias("v")).select("path", "length", "v.status", "v.mime")
     if manifest is None:
         return found
     return manifest.select("path").join(found, "path", "left").select(
