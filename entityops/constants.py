@@ -244,10 +244,10 @@ KNOWN_ISO2 = [
     "IN", "BR", "CZ", "RO", "SK", "IT", "CH", "DE", "FR", "ES", "US", "GB", "NL", "BE", "PL", "CN",
     "DK", "SE", "NO", "ID",
 ]
-SMDS_CODE_PATTERNS = [
-    r"\b(?:smds\s*)?(?:vendor\s*)?code\s*[:\s#-]*(\d{4,10})\b",
-    r"\bsmds\s+(\d{4,10})\b",
-    r"\bSMDS_VNDR_CD\s*[:\s#-]*(\d{4,10})\b",
+ERP_CODE_PATTERNS = [
+    r"\b(?:erp\s*)?(?:vendor\s*)?code\s*[:\s#-]*(\d{4,10})\b",
+    r"\berp\s+(\d{4,10})\b",
+    r"\bERP_VNDR_CD\s*[:\s#-]*(\d{4,10})\b",
 ]
 BP_CODE_PATTERNS = [
     r"\b(?:sap\s*)?mdg\s*(?:bp\s*)?(?:vendor\s*)?(?:code\s*)?[:\s#-]*(\d{4,10})\b",
@@ -256,13 +256,13 @@ BP_CODE_PATTERNS = [
     r"\b(?:s4\s*)?bp\s*(?:vendor\s*)?code\s*[:\s#-]*(\d{4,10})\b",
     r"\bS4_BP_VNDR_CD\s*[:\s#-]*(\d{4,10})\b",
 ]
-CODE_MARKERS = ["mdg", "bp", "sap", "smds"]
+CODE_MARKERS = ["mdg", "bp", "sap", "erp"]
 VENDOR_CODE = r"\b([A-Z]{2}\d{5,})\b"
 TAX_TOKEN = r"\b(?=[A-Z0-9]*\d)[A-Z0-9]{8,}\b"
 LIST_ALL = (
     r"\b(all|every|any|list)\b[\s\S]*\bvendors?\b|\bvendors?\b[\s\S]*\b(in|from|for)\b"
 )
-SMDS_CODE_TYPE = "SMDS_VNDR_CD"
+ERP_CODE_TYPE = "ERP_VNDR_CD"
 BP_CODE_TYPE = "S4_BP_VNDR_CD"
 
 # --- fixed values: usage reporting -----------------------------------------------------------
@@ -273,7 +273,7 @@ FEATURE_CATALOG = [
     ("company_search", ["company_search."]),
     ("onboard_chat", ["onboard.chat_plan"]),
     ("steward_assist", ["steward_assist."]),
-    ("web_trust", ["trustlens."]),
+    ("web_trust", ["evidence."]),
 ]
 TEST_NAME_PREFIXES = ["pytest", "monitoring-test", "model-only-test"]
 INPUT_USD_PER_MTOK = 2.0

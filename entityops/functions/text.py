@@ -46,6 +46,12 @@ def norm_text(col: Column) -> Column:
     return F.trim(F.regexp_replace(kept, r"(?U)\s+", " "))
 
 
+def norm_words(col: Column) -> Column:
+    """Lower case letters, digits and marks of any script, everything else to one blank."""
+    kept = F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " ")
+    return F.trim(kept)
+
+
 def norm_id(col: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(col, F.lit("")), r"(?U)\s+", ""))
 
@@ -128,13 +134,13 @@ def ratio_of(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), F.lit(0)).otherwise(F.rint(_ratio(a, b)).cast("int"))
 
 
-def _sorted_tokens(col: Column) -> Column:
+def sorted_tokens(col: Column) -> Column:
     return F.array_join(F.array_sort(F.split(strip(F.coalesce(col, F.lit(""))), r"(?U)\s+")), " ")
 
 
 def token_sort_ratio(left: Column, right: Column) -> Column:
     """Order-free similarity on 0..1, case sensitive."""
-    return _ratio(_sorted_tokens(left), _sorted_tokens(right)) / 100.0
+    return _ratio(sorted_tokens(left), sorted_tokens(right)) / 100.0
 
 
 def token_jaccard(left: Column, right: Column) -> Column:

@@ -396,7 +396,8 @@ def min_pairwise_similarity(
     compared with one pivot per group (linear); a pair below the threshold settles the group.  Only
     groups where every value is close to the pivot need more, and there the triangle inequality of
     the edit distance leaves just the pairs whose distances to the pivot add up to more than the
-    threshold allows.  The verdict is exact; ``min_ratio`` is the lowest ratio that was computed.
+    threshold allows.  The verdict is exact; ``ratio_found`` is the lowest ratio that was computed, a
+    witness of a warning and not the minimum over all pairs.
     """
     keys = ["bundle_id", "logical_id"]
     limit = F
@@ -418,14 +419,14 @@ def min_pairwise_similarity(
         values.join(groups, keys)
         .where("value <> _pivot")
         .withColumn("ratio", T.token_sort_ratio(F.col("_pivot"), F.col("value")))
-        .withColumn("_span", F.length("value"))
-        .withColumn("_distance", (1 - F.col("ratio")) * (F.length("_pivot") + F.length("value")))
+        .withColumn("_span", F.length(T.sorted_tokens(F.col("value"))))
+        .withColumn("_distance", (1 - F.col("ratio")) * (F.length(T.sorted_tokens(F.col("_pivot"))) + F.col("_span")))
     )
     settled = against.groupBy(*keys).agg(
-        F.min("ratio").alias("min_ratio"), F.first("distinct_values").alias("distinct_values"),
+        F.min("ratio").alias("ratio_found"), F.first("distinct_values").alias("distinct_values"),
         F.first("threshold").alias("threshold"),
     )
-    open_values = against.join(settled.where("min_ratio >= threshold AND distinct_values > 2").select(*keys), keys, "left_semi")
+    open_values = against.join(settled.where("ratio_found >= threshold AND distinct_values > 2").select(*keys), keys, "left_semi")
     left = open_values.select(*keys, "threshold", F.col("value").alias("a"), F.col("_span").alias("la"), F.col("_distance").alias("da"))
     right = open_values.select(*keys, F.col("value").alias("b"), F.col("_span").alias("lb"), F.col("_distance").alias("db"))
     rest = (
@@ -435,9 +436,9 @@ def min_pairwise_similarity(
         .groupBy(*keys)
         .agg(F.min("ratio").alias("_rest"))
     )
-    lowest = F.least("min_ratio", "_rest")
+    lowest = F.least("ratio_found", "_rest")
     return settled.join(rest, keys, "left").select(
-        *keys, "distinct_values", lowest.alias("min_ratio"),
+        *keys, "distinct_values", lowest.alias("ratio_found"),
         F.when(lowest < F.col("threshold"), F.lit("warn")).otherwise(F.lit("pass")).alias("status"),
     )
 

@@ -6,6 +6,8 @@ expressions and nothing is joined or shuffled.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import html
 
 import pandas as pd
@@ -206,6 +208,10 @@ def _pattern_of(value: Column, table: dict[str, str], nth: int) -> Column:
     return out.otherwise(F.lit(None).cast("string"))
 
 
+def _most_aliases(table: dict[str, str]) -> int:
+    return max(Counter(table.values()).values(), default=0)
+
+
 def tag_query_intent(queries: DataFrame, column: str = "query") -> DataFrame:
     """Intent of free-text vendor queries, and whether it is good enough without a model.
 
@@ -215,11 +221,11 @@ def tag_query_intent(queries: DataFrame, column: str = "query") -> DataFrame:
     c = F.col
     q = c("_q")
     df = queries.withColumn("_q", T.strip(c(column)))
-    smds = F.when(q.rlike(_word("smds")), _first_capture(q, C.SMDS_CODE_PATTERNS))
+    erp = F.when(q.rlike(_word("erp")), _first_capture(q, C.ERP_CODE_PATTERNS))
     bp = _first_capture(q, C.BP_CODE_PATTERNS)
     df = df.withColumns(
         {
-            "_smds": smds,
+            "_erp": erp,
             "_bp": bp,
             "_bare": F.when(q.rlike(r"(?U)^\d{4,10}$"), q),
             "_vendor_raw": F.nullif(F.regexp_extract(q, "(?iU)" + C.VENDOR_CODE, 1), F.lit("")),
@@ -249,10 +255,9 @@ def tag_query_intent(queries: DataFrame, column: str = "query") -> DataFrame:
     )
     df = df.withColumn("_w", _without(q, F.concat(F.lit("(?i)"), c("_vendor"))))
     df = df.withColumn("_w", _without(c("_w"), F.concat(F.lit("(?i)"), c("_tax"))))
-    for nth in (0, 1):
-        df = df.withColumn("_w", _without(c("_w"), _pattern_of(c("_city"), C.CITY_ALIASES, nth)))
-    for nth in (0, 1):
-        df = df.withColumn("_w", _without(c("_w"), _pattern_of(c("_country"), C.COUNTRY_ALIASES, nth)))
+    for column, table in (("_city", C.CITY_ALIASES), ("_country", C.COUNTRY_ALIASES)):
+        for nth in range(_most_aliases(table)):
+            df = df.withColumn("_w", _without(c("_w"), _pattern_of(c(column), table, nth)))
     df = df.withColumn("_w", _without(c("_w"), F.concat(F.lit(r"(?iU)\b"), c("_country"), F.lit(r"\b"))))
     df = df.withColumn("_w", F.regexp_replace(c("_w"), r"(?iU)\b(?:" + "|".join(C.STATUS_WORDS) + r")\b", " "))
     df = df.withColumn("_w", F.regexp_replace(c("_w"), "(?iU)" + C.LIST_ALL, " "))
@@ -277,10 +282,10 @@ def tag_query_intent(queries: DataFrame, column: str = "query") -> DataFrame:
     yes = F.lit(True)
     place = {"country": country, "city": c("_city")}
     search = "attribute_search"
-    listed = c("_smds").isNotNull() | c("_bp").isNotNull() | c("_bare").isNotNull()
+    listed = c("_erp").isNotNull() | c("_bp").isNotNull() | c("_bare").isNotNull()
     marker = F.when(q.rlike(r"(?iU)\b(?:" + "|".join(C.CODE_MARKERS) + r")\b"), "high").otherwise("medium")
-    number = F.coalesce(T.pad_code(F.coalesce("_smds", "_bp")), c("_bare"))
-    number_type = F.when(c("_smds").isNotNull(), C.SMDS_CODE_TYPE).when(c("_bp").isNotNull(), C.BP_CODE_TYPE)
+    number = F.coalesce(T.pad_code(F.coalesce("_erp", "_bp")), c("_bare"))
+    number_type = F.when(c("_erp").isNotNull(), C.ERP_CODE_TYPE).when(c("_bp").isNotNull(), C.BP_CODE_TYPE)
     has_country, has_name, has_tax = country.isNotNull(), name.isNotNull(), c("_tax").isNotNull()
     words = F.size(F.split(F.coalesce(name, F.lit("")), " "))
     result = (

@@ -211,7 +211,7 @@ def blocking_request(records: DataFrame, keys: list[str]) -> tuple[DataFrame, Da
 def duplicate_candidates(records: DataFrame, min_jaccard: float = 0.5, top: int = 5) -> DataFrame:
     """The ``top`` most similar other records of each record, exact, for any number of copies.
 
-    records: record_id, name, country, postal_code.  Only distinct names are paired: two names can reach
+    records: record_id, name, country, postal_code; names of any script.  Only distinct names are paired: two names can reach
     ``min_jaccard`` only if they share one of their rarest tokens, so the pairs come from an equi-join on
     those.  Within a name, records differ only in country and postal code, and a record's score depends
     on which of the two agree.  The first ``top + 1`` ids of a name alone, of a name with a country, with
@@ -219,7 +219,7 @@ def duplicate_candidates(records: DataFrame, min_jaccard: float = 0.5, top: int
     """
     w = C.FIELD_WEIGHTS
     keyed = records.select(
-        "record_id", T.norm_text(F.col("name")).alias("name"), F.coalesce("country", F.lit("")).alias("country"),
+        "record_id", T.norm_words(F.col("name")).alias("name"), F.coalesce("country", F.lit("")).alias("country"),
         F.coalesce(F.col("postal_code").cast("string"), F.lit("")).alias("postal"),
     ).where("name <> ''")
     # the smallest record id of a name stands for the name, and likewise for a group of equal records

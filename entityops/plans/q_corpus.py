@@ -162,7 +162,7 @@ _STATUS_ARMS = " ".join(f"WHEN {_has([w])} THEN {sql.quote(w.upper())}" for w in
 @query(
     "prj_21_tag_query_intent",
     rf"""WITH base AS (SELECT query_id, trim(query) AS q FROM v_queries),
-a AS (SELECT *, CASE WHEN {_has(['smds'])} THEN {_capture_sql(C.SMDS_CODE_PATTERNS)} END AS smds, {_capture_sql(C.BP_CODE_PATTERNS)} AS bp,
+a AS (SELECT *, CASE WHEN {_has(['erp'])} THEN {_capture_sql(C.ERP_CODE_PATTERNS)} END AS erp, {_capture_sql(C.BP_CODE_PATTERNS)} AS bp,
     CASE WHEN regexp_matches(q, '^\d{{4,10}}$') THEN q END AS bare, nullif(regexp_extract(q, '(?i)\b([A-Z]{{2}}\d{{5,}})\b', 1), '') AS vraw,
     {_alias_sql(C.COUNTRY_ALIASES)} AS calias, {_alias_sql(C.CITY_ALIASES)} AS city, CASE {_STATUS_ARMS} END AS status,
     {_has(C.WORKFLOW_PHRASES)} AS wf, {_has(C.DRAFT_PATTERNS)} AS dr, regexp_matches(q, {sql.quote('(?is)' + C.LIST_ALL)}) AS la,
@@ -179,14 +179,14 @@ w5 AS (SELECT * REPLACE (CASE WHEN country IS NOT NULL THEN regexp_replace(w, co
 w6 AS (SELECT * REPLACE (regexp_replace(regexp_replace(w, '(?i)\b({'|'.join(C.STATUS_WORDS)})\b', ' ', 'g'), {sql.quote('(?is)' + C.LIST_ALL)}, ' ', 'g') AS w) FROM w5),
 n AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(w, '[\s,;]+'), lambda x: x <> '' AND NOT list_contains({_DROP}, lower(x))), ' ') AS nm FROM w6),
 f AS (SELECT *, CASE WHEN length(nm) >= 3 THEN nm END AS name FROM n),
-o AS (SELECT *, CASE WHEN coalesce(smds, bp, bare) IS NOT NULL THEN 1 WHEN vonly THEN 2 WHEN country IS NOT NULL AND wf THEN 3 WHEN country IS NOT NULL AND dr AND (la OR name IS NULL) THEN 4
+o AS (SELECT *, CASE WHEN coalesce(erp, bp, bare) IS NOT NULL THEN 1 WHEN vonly THEN 2 WHEN country IS NOT NULL AND wf THEN 3 WHEN country IS NOT NULL AND dr AND (la OR name IS NULL) THEN 4
     WHEN country IS NOT NULL AND (la OR (status IS NOT NULL AND name IS NULL)) THEN 5 WHEN tax IS NOT NULL AND country IS NOT NULL THEN 6 WHEN tax IS NOT NULL THEN 7
     WHEN name IS NOT NULL AND country IS NOT NULL THEN 8 WHEN name IS NOT NULL THEN 9 WHEN country IS NOT NULL THEN 10 END AS k FROM f),
 r AS (SELECT query_id, k, CASE WHEN k <= 2 THEN 'code_lookup' WHEN k > 2 THEN 'attribute_search' END AS intent, CASE WHEN k IN (3, 4, 5, 6, 8, 10) THEN country END AS country,
     CASE WHEN k IN (3, 4, 5, 6, 8, 9, 10) THEN city END AS city, CASE WHEN k = 3 THEN coalesce(status, 'PENDING') WHEN k IN (4, 5, 8, 9, 10) THEN status END AS vendor_status,
     CASE WHEN k = 3 THEN true END AS in_workflow, CASE WHEN k IN (3, 4) THEN true END AS has_draft, CASE WHEN k IN (6, 7) THEN tax END AS tax_id,
-    CASE k WHEN 1 THEN CASE WHEN coalesce(smds, bp) IS NOT NULL THEN lpad(coalesce(smds, bp), greatest(10, length(coalesce(smds, bp)))::INT, '0') ELSE bare END WHEN 2 THEN vendor END AS code,
-    CASE WHEN k = 1 THEN CASE WHEN smds IS NOT NULL THEN 'SMDS_VNDR_CD' WHEN bp IS NOT NULL THEN 'S4_BP_VNDR_CD' END END AS code_type,
+    CASE k WHEN 1 THEN CASE WHEN coalesce(erp, bp) IS NOT NULL THEN lpad(coalesce(erp, bp), greatest(10, length(coalesce(erp, bp)))::INT, '0') ELSE bare END WHEN 2 THEN vendor END AS code,
+    CASE WHEN k = 1 THEN CASE WHEN erp IS NOT NULL THEN 'ERP_VNDR_CD' WHEN bp IS NOT NULL THEN 'S4_BP_VNDR_CD' END END AS code_type,
     CASE WHEN k IN (6, 7, 8, 9) THEN name END AS trading_name,
     CASE WHEN k = 1 THEN CASE WHEN {_has(C.CODE_MARKERS)} THEN 'high' ELSE 'medium' END WHEN k BETWEEN 2 AND 8 THEN 'high' WHEN k = 9 THEN CASE WHEN contains(name, ' ') THEN 'medium' ELSE 'low' END
       WHEN k = 10 THEN 'low' END AS confidence FROM o)

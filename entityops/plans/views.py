@@ -7,32 +7,23 @@ of the DataFrame versions shuffles except for joins with dimension tables.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entityops.functions.ordering import padded
 from entityops.functions.rows import struct_rows
 
 
 def _line_key():
     return F.concat_ws(
         "-",
-        F.lpad(F.col("l_linenumber").cast("string"), 2, "0"),
-        F.lpad(F.col("l_partkey").cast("string"), 12, "0"),
-        F.lpad(F.col("l_suppkey").cast("string"), 12, "0"),
+        padded(F.col("l_linenumber"), 2),
+        padded(F.col("l_partkey"), 12),
+        padded(F.col("l_suppkey"), 12),
         F.date_format("l_shipdate", "yyyyMMdd"),
     )
 
 
-WIDE = {"lineitem", "orders", "part", "events", "documents", "pages"}
-
-
-def spread(df: DataFrame, path: str) -> DataFrame:
-    """Give a table that is one local file to every core; stored tables of many files are left alone."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if os.path.isfile(path) else df
-
-
 class Tables:
     """Base tables by attribute, derived views by method."""
 
@@ -41,9 +32,7 @@ class Tables:
         self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir}/{name}.parquet"
-        table = self.spark.read.parquet(path)
-        return spread(table, path) if name in WIDE else table
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def v_lines(self) -> DataFrame:
         return self.lineitem.withColumn("line_key", _line_key())
@@ -217,7 +206,7 @@ class Tables:
         return self.customer.join(self.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
             key.alias("query_id"),
             F.when(key % 11 == 0, F.concat(F.lit("all vendors in "), spoken))
-            .when(key % 11 == 1, F.concat(F.lit("smds code "), number))
+            .when(key % 11 == 1, F.concat(F.lit("erp code "), number))
             .when(key % 11 == 2, F.concat(F.col("c_mktsegment"), F.lit(" trading in "), place))
             .when(key % 11 == 3, F.concat(F.lit("tax id AB"), (key + 1000000).cast("string"), F.lit("Z")))
             .when(key % 11 == 4, F.concat(F.lit("pending workflow "), spoken))
@@ -306,7 +295,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionke
 SELECT c_custkey AS query_id,
   CASE c_custkey % 11
     WHEN 0 THEN concat('all vendors in ', spoken)
-    WHEN 1 THEN concat('smds code ', c_custkey + 10000)
+    WHEN 1 THEN concat('erp code ', c_custkey + 10000)
     WHEN 2 THEN concat(c_mktsegment, ' trading in ', replace(n_name, '_', ' '))
     WHEN 3 THEN concat('tax id AB', c_custkey + 1000000, 'Z')
     WHEN 4 THEN concat('pending workflow ', spoken)

@@ -363,7 +363,7 @@ def test_page_signals(spark):
 @pytest.mark.parametrize(
     "query, expected",
     [
-        ("smds code 12345", {"intent": "code_lookup", "code": "0000012345", "code_type": "SMDS_VNDR_CD", "confidence": "high", "immediate": True}),
+        ("erp code 12345", {"intent": "code_lookup", "code": "0000012345", "code_type": "ERP_VNDR_CD", "confidence": "high", "immediate": True}),
         ("sap 40021 code", {"code": "0000040021", "code_type": "S4_BP_VNDR_CD"}), ("1234567", {"code": "1234567", "confidence": "medium", "immediate": True}),
         ("IN000070343", {"intent": "code_lookup", "code": "IN000070343"}), ("all vendors in India", {"country": "IN", "trading_name": None, "confidence": "high"}),
         ("pending approval vendors in workflow Brazil", {"country": "BR", "in_workflow": True, "vendor_status": "PENDING", "has_draft": True}),
