@@ -17,7 +17,7 @@ def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """
     folder = folder or shared_folder(edges.sparkSession)
     current = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    mark, number = None, 0
+    number = 0
     while True:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -26,7 +26,7 @@ def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         current = table(linked.union(low.select("a", F.col("m").alias("b"))).distinct(), f"small-{number}", folder)
-        now = current.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        if now == mark:
+        # Done when every edge leads to a root, that is, to a node without an edge of its own.
+        if current.join(current.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark, number = now, number + 1
+        number += 1

@@ -12,7 +12,7 @@ order, rare shingles first: two linked sets share at least k of the first ``n -
 
 Equal sets are one entity. In a list of up to ``short`` entities all are compared; in a longer one all are
 compared with the smallest first. A longer list is settled once its members are in one component, since another link between them
-changes nothing; lists that are not go on with more pivots, each of which leaves the list when it was
+changes nothing; lists that are not go on with more pivots (see ``_quota``), each of which leaves the list when it was
 compared with every member of another component. So every list ends with each of its pairs compared or
 connected, without all pairs within a group of copies. Pairs that size and bitmap allow are checked on their
 whole sets.
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,8 +48,9 @@ class Join:
     frequent: int = 1 << 19
     frequent_in_batch: int = 2
     sketch_bits: int = 25
-    pivots: tuple[int, ...] = (1, 64, 512)
+    pivots: tuple[int, int, int] = (1, 3, 1024)
     short: int = 4
+    scattered_percent: int = 80
 
 
 #: Bits of a set's parity bitmap.
@@ -117,10 +118,11 @@ def _statistics(docs: DataFrame, text: str, join: Join) -> tuple[dict[int, int],
 
 
 def boundary(sizes: dict[int, int], frequent: np.ndarray, join: Join) -> int:
-    """The largest size of a small set. A posting in an inverted list costs as much as the mean list is long."""
+    """The largest size of a small set. A posting in an inverted list costs as much as the mean list is long, four at most:
+    the order keeps the longest lists out of the prefixes."""
     total = sum(n * c for n, c in sizes.items()) or 1
     squares = float((frequent.astype(np.float64) ** 2).sum())
-    scan = 1 + min(squares / total, 16.0)
+    scan = 1 + min(squares / total, 3.0)
 
     def cost(limit: int) -> float:
         out = 0.0
@@ -135,17 +137,22 @@ def boundary(sizes: dict[int, int], frequent: np.ndarray, join: Join) -> int:
     return min([0, *(n for n in sizes if n <= 400)], key=lambda b: (cost(b), b))
 
 
-def _postings(s: np.ndarray, limit: int, frequent: np.ndarray, count: np.ndarray, join: Join) -> np.ndarray:
+def _postings(s: np.ndarray, limit: int, frequent: np.ndarray, count: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, largest sizes): the postings of a set, and for each the size of the largest set that can link here.
+
+    If a posting is the first that two sets share, they share nothing before its place, which bounds their
+    intersection; a pair that is too large for this bound links nowhere or in another list.
+    """
     n = len(s)
     if n <= join.subset and _needed(n + 1, join.percent) > n:
-        return s[:0]  # such a small set links with its equals only
+        return s[:0], np.zeros(0, np.int64)  # such a small set links with its equals only
     place = np.searchsorted(frequent, s)
     place[place == len(frequent)] = 0
     known = frequent[place] == s if len(frequent) else np.zeros(n, dtype=bool)
     if known.any():
         s = s[np.argsort(np.where(known, count[place], 0), kind="stable")]
     spare = n - _needed(n, join.percent)
-    out = []
+    out, places = [], []
     if n <= limit:
         prefix = s[: spare + join.subset]
         pick = np.array(list(itertools.combinations(range(len(prefix)), join.subset)))
@@ -153,9 +160,12 @@ def _postings(s: np.ndarray, limit: int, frequent: np.ndarray, count: np.ndarray
         for k in range(join.subset):
             value = value * _FACTORS[9] + prefix[pick[:, k]]
         out.append(W.mix(value))
+        places.append(pick[:, 0])
     if 100 * n > join.percent * limit:
         out.append(W.mix(s[: spare + 1]))
-    return np.concatenate(out)
+        places.append(np.arange(spare + 1))
+    both = 100 + join.percent
+    return np.concatenate(out), (both * (n - np.concatenate(places)) - join.percent * n) // join.percent
 
 
 def _identity(s: np.ndarray) -> int | None:
@@ -164,26 +174,28 @@ def _identity(s: np.ndarray) -> int | None:
 
 
 def _profiles(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
-    """(doc, n, sig, bits, keys): size, identity, parity bitmap and postings of every set; sig is null for an empty one."""
+    """(doc, n, sig, bits, keys, tops): size, identity, parity bitmap and postings of every set; sig is null for an empty one."""
     sizes, frequent, count = _statistics(docs, text, join)
     limit = boundary(sizes, count, join)
     order = docs.sparkSession.sparkContext.broadcast((frequent, count))
 
     def run(batches):
         for batch in W.slices(batches, 1):
-            n, sig, keys, bits = [], [], [], []
+            n, sig, keys, tops, bits = [], [], [], [], []
             for _, s in _sets(batch, 1, join.width):
                 n.append(len(s))
                 sig.append(_identity(s))
                 bits.append(np.packbits(np.bincount((s & np.uint64(_PARITY - 1)).astype(np.int64), minlength=_PARITY) & 1).tobytes() if len(s) else None)
-                keys.append(_postings(s, limit, *order.value, join).view(np.int64) if len(s) else s.view(np.int64))
+                key, top = _postings(s, limit, *order.value, join) if len(s) else (s, s)
+                keys.append(key.view(np.int64))
+                tops.append(top.astype(np.int32))
             bounds = np.concatenate(([0], np.cumsum([len(k) for k in keys], dtype=np.int64))).astype(np.int32)
-            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), flat)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sig", "bits", "keys"])
+            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, t), *x]))) for x, t in ((keys, np.int64), (tops, np.int32))]
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sig", "bits", "keys", "tops"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc {kind}, n long, sig long, bits binary, keys array<long>")
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc {kind}, n long, sig long, bits binary, keys array<long>, tops array<int>")
 
 
 def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
@@ -265,36 +277,57 @@ def _wide(data: bytes) -> np.ndarray:
 
 def _links(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str, join: Join, folder: str) -> DataFrame:
     """(node, root): components of the entities that link with another one."""
-    posted = profiles.select("sig", "n", F.explode("keys").alias("key"))
-    shared = posted.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key")
-    lists = table(posted.join(shared, "key").distinct(), "lists", folder)
-    entities = profiles.where("sig is not null").groupBy("sig").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("bits").alias("bits"))
+    posted = profiles.select("sig", "n", F.explode(F.arrays_zip("keys", "tops")).alias("x")).select(F.col("x.keys").alias("key"), "sig", "n", F.col("x.tops").alias("top"))
+    shared = posted.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    shared = shared.where("low < high").select("key", "least", "most")
+    # Members for which the list has no set of a size that can link with them leave it.
+    fits = (F.col("top") >= F.col("least")) & (F.col("n") * join.percent <= F.col("most") * 100)
+    lists = posted.join(shared, "key").where(fits).groupBy("key", "sig").agg(F.max("n").alias("n"), F.max("top").alias("top"))
+    lists = table(lists, "lists", folder)
+    listed = lists.select("sig").distinct()
+    entities = profiles.join(listed, "sig", "left_semi").groupBy("sig").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     entities = table(entities, "entities", folder)
     edges, found, number = None, None, 0
     while True:
-        many = join.pivots[min(number, len(join.pivots) - 1)]
         if found is None:
             lists = lists.withColumn("root", F.col("sig"))
         else:
-            known = lists.join(found.select(F.col("node").alias("sig"), "root"), "sig", "left").select("key", "sig", "n", F.coalesce("root", "sig").alias("root"))
-            open_ = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-            lists = table(known.join(open_, "key"), f"lists-{number}", folder)
-        ranked = lists.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("sig"))).where(F.col("k") <= max(many, join.short))
-        length = lists.groupBy("key").agg(F.count("*").alias("length")).where(F.col("length") <= join.short).select("key", F.lit(join.short).alias("most"))
-        pivots = ranked.join(length, "key", "left").where(F.col("k") <= F.coalesce("most", F.lit(many))).select("key", F.struct("sig", "n", "root").alias("p"))
+            lists = lists.join(found.select(F.col("node").alias("sig"), "root"), "sig", "left").select("key", "sig", "n", "top", F.coalesce("root", "sig").alias("root"))
+        state = lists.groupBy("key").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.count_if(F.col("root") == F.col("sig")).alias("alone")
+        )
+        quota = _quota(F.col("members"), F.col("alone"), number, join)
+        state = state.where("low < high").select("key", quota.alias("quota"))
+        lists = table(lists.join(state, "key"), f"lists-{number}", folder)
+        if lists.isEmpty():
+            return found
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("sig"))
+        most = join.pivots[-1] * 4 ** max(0, number - 2)
+        pivots = lists.withColumn("k", rank).where(F.col("k") <= most).where(F.col("k") <= F.col("quota")).select("key", F.struct("sig", "n", "top", "root").alias("p"))
         pivots = table(pivots, f"pivots-{number}", folder)
-        near = (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * join.percent) & (F.col("root") != F.col("p.root"))
+        near = (F.col("n") <= F.col("p.top")) & (F.col("p.n") <= F.col("top")) & (F.col("root") != F.col("p.root"))
         pairs = lists.join(pivots, "key").where(near).select(F.greatest("sig", "p.sig").alias("a"), F.least("sig", "p.sig").alias("b")).distinct()
         pairs = table(_possible(pairs, entities, join), f"pairs-{number}", folder)
-        last = lists.join(pivots.select("key", F.col("p.sig").alias("sig")), ["key", "sig"], "left_anti").select("key", "sig", "n")
         if not pairs.isEmpty():
             new = table(_verified(docs, pairs, entities, doc_id, text, join), f"edges-{number}", folder)
             edges = new if edges is None else edges.union(new)
             found = table(components(edges, f"{folder}/round-{number}"), f"found-{number}", folder)
-        lists = table(last, f"rest-{number}", folder)
+        lists = lists.join(pivots.select("key", F.col("p.sig").alias("sig")), ["key", "sig"], "left_anti").select("key", "sig", "n", "top")
         number += 1
-        if lists.isEmpty():
-            return found
+
+
+def _quota(members: Column, alone: Column, number: int, join: Join) -> Column:
+    """How many pivots a list gets in round ``number``: all its members if it is short.
+
+    Members of a list that holds copies soon share a component, so few pivots do at first. A list most of
+    whose members are still alone after a round, and every list that is open after two, must be compared pair
+    by pair, and gets more pivots, four times as many in each round; the number of rounds grows with the
+    logarithm of its length. Pairs that sizes and places rule out leave the join before it makes a row.
+    """
+    few, some, many = join.pivots
+    scattered = alone * 100 >= members * join.scattered_percent
+    long = (F.lit(few), F.when(scattered, F.lit(many)).otherwise(F.lit(some)), F.lit(many * 4 ** max(0, number - 2)))[min(number, 2)]
+    return F.when(members <= join.short, F.lit(join.short)).otherwise(long)
 
 
 def join_components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
