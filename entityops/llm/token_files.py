@@ -42,13 +42,13 @@ class Format:
 
 
 #: Words with their ids that one Python process remembers; beyond it forgets all and begins anew.
-_MOST_WORDS = 1_200_000
+_MOST_WORDS = 700_000
 _TAIL = string.punctuation.replace("'", "")
 _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """(tokenizer, width of an id, remembered words) of this process."""
+    """(tokenizer, width of an id, remembered words, whether an id ends a word) of this process."""
     if path not in _TOKENIZERS:
         import os
 
@@ -57,10 +57,17 @@ def _tokenizer(path: str):
 
         found = Tokenizer.from_file(path)
         found.encode_special_tokens = True
-        _TOKENIZERS[path] = (found, 2 if found.get_vocab_size() <= 1 << 16 else 4, {})
+        ends = np.zeros(found.get_vocab_size(), dtype=bool)
+        ends[[i for word, i in found.get_vocab().items() if word.endswith("</w>")]] = True
+        _TOKENIZERS[path] = (found, 2 if found.get_vocab_size() <= 1 << 16 else 4, {}, ends)
     return _TOKENIZERS[path]
 
 
+def _remember(known: dict[str, bytes], words: list[str], data: bytes, bounds: np.ndarray) -> None:
+    places = bounds.tolist()
+    known.update(zip(words, (data[a:b] for a, b in zip(places, places[1:])), strict=True))
+
+
 def _serialized(texts: list[str], path: str, end_id: int) -> list[bytes]:
     """Ids of each text and the end id, as bytes.
 
@@ -68,7 +75,7 @@ def _serialized(texts: list[str], path: str, end_id: int) -> list[bytes]:
     each different piece is encoded once while it is remembered. It also ignores case: ASCII letters are
     lowered first.
     """
-    tokenizer, width, known = _tokenizer(path)
+    tokenizer, width, known, ends = _tokenizer(path)
     pieces = [t.encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
     new = {w for p in pieces for w in p if w not in known}
     if len(known) + len(new) > _MOST_WORDS:
@@ -77,14 +84,21 @@ def _serialized(texts: list[str], path: str, end_id: int) -> list[bytes]:
     # Behind a letter or digit, punctuation without an apostrophe is always a token of its own.
     tails = {w: w[len(c) :] for w in new if (c := w.rstrip(_TAIL)) and len(c) < len(w) and c[-1].isalnum()}
     plain = {w[: -len(t)] for w, t in tails.items()}.union(tails.values(), new.difference(tails)) - known.keys()
-    words = sorted(plain)
-    for low in range(0, len(words), 2000):
-        part = words[low : low + 2000]
-        found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+    letters = [w for w in plain if w.isalpha()]
+    parts = [letters[low : low + 2000] for low in range(0, len(letters), 2000)]
+    others = list(plain.difference(letters))
+    for part, found in zip(parts, tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
         ids = np.array(found.ids, dtype=f"<u{width}")
+        bounds = np.concatenate(([0], np.flatnonzero(ends[ids]) + 1)) * width
+        if len(bounds) == len(part) + 1:
+            _remember(known, part, ids.tobytes(), bounds)
+        else:  # a word of letters that its normal form splits
+            others += part
+    for low in range(0, len(others), 2000):
+        part = others[low : low + 2000]
+        found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
         bounds = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * width
-        data = ids.tobytes()
-        known.update((w, data[a:b]) for w, a, b in zip(part, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        _remember(known, part, np.array(found.ids, dtype=f"<u{width}").tobytes(), bounds)
     known.update((w, known[w[: -len(t)]] + known[t]) for w, t in tails.items())
     end = np.array([end_id], dtype=f"<u{width}").tobytes()
     return [b"".join(map(known.__getitem__, p)) + end for p in pieces]
