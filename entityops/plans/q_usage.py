@@ -222,9 +222,9 @@ def usage_by_day(t):
     return X.usage_by_day(t.v_generations())
 
 
-@query("str_5_dedup_uploads", "SELECT DISTINCT sha256(text) AS content_hash FROM documents")
+@query("str_5_dedup_uploads", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def dedup_uploads(t):
-    return X.dedup_uploads(t.documents.select("doc_id", "text"), F.col("text")).select("content_hash")
+    return X.dedup_uploads(t.documents.select("doc_id", "text"), F.col("text"), order="doc_id").select("content_hash", "doc_id")
 
 
 @query(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from entityops import constants as C
+from entityops.functions.ordering import first_row
 from entityops.operators import usage
 
 EXPIRY_SCHEMA = "session_id string, created_at timestamp, expires_at timestamp"
@@ -107,11 +108,14 @@ def usage_by_day(generations: DataFrame, watermark: str = "1 day", include_tests
     )
 
 
-def dedup_uploads(uploads: DataFrame, content: Column, watermark: str = "1 hour") -> DataFrame:
-    """Drop uploads whose content was already seen; state is kept for the watermark only."""
+def dedup_uploads(uploads: DataFrame, content: Column, watermark: str = "1 hour", order: str | None = None) -> DataFrame:
+    """Drop uploads whose content was already seen; state is kept for the watermark only.
+
+    A batch keeps the first row by ``order``; a stream keeps the one that arrives first.
+    """
     hashed = uploads.withColumn("content_hash", F.sha2(content, 256))
     if not uploads.isStreaming:
-        return hashed.dropDuplicates(["content_hash"])
+        return hashed.dropDuplicates(["content_hash"]) if order is None else first_row(hashed, ["content_hash"], [F.col(order)])
     return _event_time(hashed).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["content_hash"])
 
 
