@@ -168,6 +168,11 @@ def _postings(s: np.ndarray, limit: int, frequent: np.ndarray, count: np.ndarray
     return np.concatenate(out), (both * (n - np.concatenate(places)) - join.percent * n) // join.percent
 
 
+def _parity(s: np.ndarray) -> bytes | None:
+    """The parity bitmap of a set."""
+    return np.packbits(np.bincount((s & np.uint64(_PARITY - 1)).astype(np.int64), minlength=_PARITY) & 1).tobytes() if len(s) else None
+
+
 def _identity(s: np.ndarray) -> int | None:
     """A 64-bit hash of a set; null for the empty one."""
     return int(W.mix(W.mix(s).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) if len(s) else None
@@ -185,7 +190,7 @@ def _profiles(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
             for _, s in _sets(batch, 1, join.width):
                 n.append(len(s))
                 sig.append(_identity(s))
-                bits.append(np.packbits(np.bincount((s & np.uint64(_PARITY - 1)).astype(np.int64), minlength=_PARITY) & 1).tobytes() if len(s) else None)
+                bits.append(_parity(s))
                 key, top = _postings(s, limit, *order.value, join) if len(s) else (s, s)
                 keys.append(key.view(np.int64))
                 tops.append(top.astype(np.int32))
@@ -208,12 +213,27 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _hit(bitmap: np.ndarray, column, bits: int) -> np.ndarray:
+    cell = (column.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return (bitmap[cell >> 5] >> (cell & 31).astype(np.uint32)) & np.uint32(1) == 1
+
+
 def _possible(pairs: DataFrame, entities: DataFrame, join: Join) -> DataFrame:
     """The rows (a, b) of ``pairs`` whose sets can link, by size and by bitmap.
 
     Bit i of a set's bitmap tells whether it has an odd number of shingles with hash i. The bits in which
     two bitmaps differ are at most as many as the shingles in which the sets differ, so no link is lost.
+    Only entities that a fixed-size bitmap of the pairs lets through are shuffled.
     """
+    spark, bits = pairs.sparkSession, join.sketch_bits
+    mixed = F.xxhash64("sig").alias("h")
+    bitmap = spark.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("sig")).select(mixed), bits))
+
+    def named(batches):
+        for batch in batches:
+            yield batch.select([0, 1, 2]).filter(pa.array(_hit(bitmap.value, batch.column(3), bits)))
+
+    entities = entities.select("sig", "n", "bits", mixed).mapInArrow(named, "sig long, n long, bits binary")
     left = pairs.join(entities.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
     both = left.join(entities.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
     percent = join.percent
@@ -241,8 +261,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, entities: DataFrame, doc_id: st
 
     def run(batches):
         for batch in W.slices(batches, 0):
-            cell = (batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-            hit = np.flatnonzero((bitmap.value[cell >> 5] >> (cell & 31).astype(np.uint32)) & np.uint32(1))
+            hit = np.flatnonzero(_hit(bitmap.value, batch.column(1), bits))
             if not len(hit):
                 continue
             some = batch.take(pa.array(hit))
@@ -301,11 +320,18 @@ def _links(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str, join: J
         lists = table(lists.join(state, "key"), f"lists-{number}", folder)
         if lists.isEmpty():
             return found
+        brief = ["sig", "n", "top", "root"]
+        if number >= 2:  # few lists are left, and they may be long: a short bitmap goes with their members
+            lists = lists.join(entities.select("sig", *_folded(F.col("bits"))), "sig")
+            brief += ["b0", "b1"]
         rank = F.row_number().over(Window.partitionBy("key").orderBy("sig"))
         most = join.pivots[-1] * 4 ** max(0, number - 2)
-        pivots = lists.withColumn("k", rank).where(F.col("k") <= most).where(F.col("k") <= F.col("quota")).select("key", F.struct("sig", "n", "top", "root").alias("p"))
+        pivots = lists.withColumn("k", rank).where(F.col("k") <= most).where(F.col("k") <= F.col("quota")).select("key", F.struct(*brief).alias("p"))
         pivots = table(pivots, f"pivots-{number}", folder)
         near = (F.col("n") <= F.col("p.top")) & (F.col("p.n") <= F.col("top")) & (F.col("root") != F.col("p.root"))
+        if number >= 2:
+            apart = F.bit_count(F.col("b0").bitwiseXOR(F.col("p.b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("p.b1")))
+            near = near & (apart * (100 + join.percent) <= (F.col("n") + F.col("p.n")) * (100 - join.percent))
         pairs = lists.join(pivots, "key").where(near).select(F.greatest("sig", "p.sig").alias("a"), F.least("sig", "p.sig").alias("b")).distinct()
         pairs = table(_possible(pairs, entities, join), f"pairs-{number}", folder)
         if not pairs.isEmpty():
@@ -316,6 +342,18 @@ def _links(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str, join: J
         number += 1
 
 
+def _folded(bits: Column) -> list[Column]:
+    """The parity bitmap of 128 bits that follows from the long one, as two numbers."""
+    words = [F.conv(F.hex(F.substring(bits, 8 * k + 1, 8)), 16, -10).cast("long") for k in range(_PARITY // 64)]
+    out = []
+    for side in (0, 1):
+        folded = words[side]
+        for word in words[side + 2 :: 2]:
+            folded = folded.bitwiseXOR(word)
+        out.append(folded.alias(f"b{side}"))
+    return out
+
+
 def _quota(members: Column, alone: Column, number: int, join: Join) -> Column:
     """How many pivots a list gets in round ``number``: all its members if it is short.
 
