@@ -42,7 +42,7 @@ class Format:
 
 
 #: Words with their ids that one Python process remembers; beyond it forgets all and begins anew.
-_MOST_WORDS = 700_000
+_MOST_WORDS = 900_000
 _TAIL = string.punctuation.replace("'", "")
 _TOKENIZERS: dict[str, tuple] = {}
 
@@ -77,12 +77,12 @@ def _serialized(texts: list[str], path: str, end_id: int) -> list[bytes]:
     """
     tokenizer, width, known, ends = _tokenizer(path)
     pieces = [t.encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
-    new = {w for p in pieces for w in p if w not in known}
+    values = [list(map(known.get, p)) for p in pieces]
+    new = {w for p, found in zip(pieces, values, strict=True) if None in found for w, v in zip(p, found, strict=True) if v is None}
     if len(known) + len(new) > _MOST_WORDS:
-        known.clear()
-        new = {w for p in pieces for w in p}
+        known.clear()  # the ids of known words are in ``values``; single words may be needed again
     # Behind a letter or digit, punctuation without an apostrophe is always a token of its own.
-    tails = {w: w[len(c) :] for w in new if (c := w.rstrip(_TAIL)) and len(c) < len(w) and c[-1].isalnum()}
+    tails = {w: w[len(c) :] for w in new if not w[-1:].isalnum() and (c := w.rstrip(_TAIL)) and len(c) < len(w) and c[-1].isalnum()}
     plain = {w[: -len(t)] for w, t in tails.items()}.union(tails.values(), new.difference(tails)) - known.keys()
     letters = [w for w in plain if w.isalpha()]
     parts = [letters[low : low + 2000] for low in range(0, len(letters), 2000)]
@@ -101,7 +101,13 @@ def _serialized(texts: list[str], path: str, end_id: int) -> list[bytes]:
         _remember(known, part, np.array(found.ids, dtype=f"<u{width}").tobytes(), bounds)
     known.update((w, known[w[: -len(t)]] + known[t]) for w, t in tails.items())
     end = np.array([end_id], dtype=f"<u{width}").tobytes()
-    return [b"".join(map(known.__getitem__, p)) + end for p in pieces]
+    out = []
+    for words, found in zip(pieces, values, strict=True):
+        if None in found:
+            found = [known[w] if v is None else v for w, v in zip(words, found, strict=True)]
+        found.append(end)
+        out.append(b"".join(found))
+    return out
 
 
 def train_dictionary(docs: DataFrame, form: Format, doc_id: str, text: str) -> bytes:
@@ -207,7 +213,7 @@ def write(docs: DataFrame, path: str, form: Format, doc_id: str = "doc_id", text
     dealt.mapInArrow(blocks, schema).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
-def _decoded(rows: DataFrame, data: bytes, width: int, only: frozenset | None = None) -> DataFrame:
+def _decoded(rows: DataFrame, data: bytes, width: int, only: frozenset | None, with_ids: bool) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(data)
 
     def run(batches):
@@ -219,22 +225,21 @@ def _decoded(rows: DataFrame, data: bytes, width: int, only: frozenset | None =
                 firsts = (start + np.cumsum(counts) - np.array(counts)).tolist()
                 some = [i for i, d in enumerate(docs) if only is None or d in only]
                 ids = [np.frombuffer(open_.decompress(frames[offsets[i] : ends[i]]), dtype=f"<u{width}").astype("<u4").tobytes() for i in some]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([docs[i] for i in some], pa.int64()),
-                        pa.array([firsts[i] for i in some], pa.int64()),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
-
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+                columns = {
+                    "doc_id": pa.array([docs[i] for i in some], pa.int64()),
+                    "start": pa.array([firsts[i] for i in some], pa.int64()),
+                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                }
+                if with_ids:
+                    columns["ids"] = pa.array(ids, pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     return rows.select("start", "docs", "counts", "offsets", "frames").mapInArrow(run, schema)
 
 
-def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of all documents, or of the few in ``doc_ids``.
 
     ``start`` counts the ids of all documents before. The ids before a shard come from the totals of the
@@ -255,4 +260,4 @@ def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> Da
             test = test | ((F.col("low") <= d) & (F.col("high") >= d))
         placed = placed.where(test)
     placed = placed.join(F.broadcast(before), "shard").withColumn("start", F.col("base") + F.col("ids_before"))
-    return _decoded(placed, bytes(head["data"]), head["width"], only)
+    return _decoded(placed, bytes(head["data"]), head["width"], only, with_ids)
