@@ -42,21 +42,21 @@ def apply_patches(records: DataFrame, patches: DataFrame) -> DataFrame:
     A patch on a path drops what was stored below it, and what an earlier patch wrote below it, as
     replacing a nested value does.
     """
-    written = last_row(patches.select(*PATH, "value", "ordinal"), PATH, [F.col("ordinal")])
+    written = last_row(patches.select(*PATH, "value", "ordinal"), PATH, [F.col("ordinal")]).withColumn("_stored", F.lit(False))
+    stored = records.select(*PATH, "value", F.lit(None).cast(written.schema["ordinal"].dataType).alias("ordinal"), F.lit(True).alias("_stored"))
     parents = written.select("record_id", F.col("path").alias("_parent"), F.col("ordinal").alias("_parent_at"))
-    patched = records.join(written.select("record_id").distinct(), "record_id", "left_semi").select(*PATH)
-    stored = patched.join(written.select(*PATH), PATH, "left_anti").withColumn("ordinal", F.lit(None).cast(written.schema["ordinal"].dataType))
-    cells = stored.unionByName(written.select(*PATH, "ordinal")).withColumn("_at", F.split("path", r"\."))
-    depth = F.size("_at")
+    patched = stored.join(written.select("record_id"), "record_id", "left_semi")
+    cells = patched.unionByName(written).withColumn("_at", F.split("path", r"\."))
+    # a stored cell also goes where its own path is written
+    deepest = F.size("_at") - F.when(F.col("_stored"), 0).otherwise(1)
     above = F.transform(
-        F.when(depth > 1, F.sequence(F.lit(1), depth - 1)).otherwise(F.array().cast("array<int>")),
+        F.when(deepest > 0, F.sequence(F.lit(1), deepest)).otherwise(F.array().cast("array<int>")),
         lambda n: F.array_join(F.slice("_at", F.lit(1), n), "."),
     )
-    below = cells.select("record_id", "path", "ordinal", F.explode(above).alias("_parent")).join(parents, ["record_id", "_parent"])
-    covered = below.where("ordinal IS NULL OR ordinal < _parent_at").select(*PATH)
-    gone = covered.unionByName(written.select(*PATH)).distinct()
-    kept = records.select(*PATH, "value").join(gone, PATH, "left_anti")
-    return kept.unionByName(written.select(*PATH, "value").join(covered.distinct(), PATH, "left_anti"))
+    below = cells.select(*PATH, "_stored", "ordinal", F.explode(above).alias("_parent")).join(parents, ["record_id", "_parent"])
+    gone = below.where(F.col("_stored") | (F.col("ordinal") < F.col("_parent_at"))).select(*PATH, "_stored")
+    kept = stored.unionByName(written).join(gone, [*PATH, "_stored"], "left_anti")
+    return kept.select(*PATH, "value")
 
 
 def merge_plan(patches: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFrame]:
