@@ -48,8 +48,9 @@ class Join:
     frequent: int = 1 << 19
     frequent_in_batch: int = 2
     sketch_bits: int = 25
-    pivots: tuple[int, int, int] = (1, 3, 1024)
+    pivots: tuple[int, int, int] = (1, 4, 1024)
     short: int = 4
+    broadcast_rows: int = 1 << 17
     scattered_percent: int = 80
 
 
@@ -213,6 +214,11 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _small(df: DataFrame, join: Join) -> DataFrame:
+    """A written table for the side of a join that may be sent to all tasks: so marked only if its rows are counted and few."""
+    return F.broadcast(df) if df.count() <= join.broadcast_rows else df
+
+
 def _hit(bitmap: np.ndarray, column, bits: int) -> np.ndarray:
     cell = (column.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
     return (bitmap[cell >> 5] >> (cell & 31).astype(np.uint32)) & np.uint32(1) == 1
@@ -234,7 +240,7 @@ def _possible(pairs: DataFrame, entities: DataFrame, join: Join) -> DataFrame:
             yield batch.select([0, 1, 2]).filter(pa.array(_hit(bitmap.value, batch.column(3), bits)))
 
     entities = entities.select("sig", "n", "bits", mixed).mapInArrow(named, "sig long, n long, bits binary")
-    left = pairs.join(entities.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
+    left = _small(pairs, join).join(entities.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
     both = left.join(entities.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
     percent = join.percent
 
@@ -271,7 +277,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, entities: DataFrame, doc_id: st
 
     sets = docs.select(F.col(text), F.xxhash64(F.col(doc_id)).alias("h")).mapInArrow(run, "h long, sig long, s binary")
     sets = wanted.join(sets, ["h", "sig"]).select("sig", "s")
-    left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a")
+    left = _small(pairs, join).join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
     percent = join.percent
 
@@ -325,7 +331,7 @@ def _links(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str, join: J
             lists = lists.join(entities.select("sig", *_folded(F.col("bits"))), "sig")
             brief += ["b0", "b1"]
         rank = F.row_number().over(Window.partitionBy("key").orderBy("sig"))
-        most = join.pivots[-1] * 4 ** max(0, number - 2)
+        most = join.pivots[-1] * 4 ** max(0, number - 1)
         pivots = lists.withColumn("k", rank).where(F.col("k") <= most).where(F.col("k") <= F.col("quota")).select("key", F.struct(*brief).alias("p"))
         pivots = table(pivots, f"pivots-{number}", folder)
         near = (F.col("n") <= F.col("p.top")) & (F.col("p.n") <= F.col("top")) & (F.col("root") != F.col("p.root"))
@@ -333,7 +339,7 @@ def _links(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str, join: J
             apart = F.bit_count(F.col("b0").bitwiseXOR(F.col("p.b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("p.b1")))
             near = near & (apart * (100 + join.percent) <= (F.col("n") + F.col("p.n")) * (100 - join.percent))
         pairs = lists.join(pivots, "key").where(near).select(F.greatest("sig", "p.sig").alias("a"), F.least("sig", "p.sig").alias("b")).distinct()
-        pairs = table(_possible(pairs, entities, join), f"pairs-{number}", folder)
+        pairs = table(_possible(table(pairs, f"near-{number}", folder), entities, join), f"pairs-{number}", folder)
         if not pairs.isEmpty():
             new = table(_verified(docs, pairs, entities, doc_id, text, join), f"edges-{number}", folder)
             edges = new if edges is None else edges.union(new)
@@ -358,13 +364,13 @@ def _quota(members: Column, alone: Column, number: int, join: Join) -> Column:
     """How many pivots a list gets in round ``number``: all its members if it is short.
 
     Members of a list that holds copies soon share a component, so few pivots do at first. A list most of
-    whose members are still alone after a round, and every list that is open after two, must be compared pair
-    by pair, and gets more pivots, four times as many in each round; the number of rounds grows with the
-    logarithm of its length. Pairs that sizes and places rule out leave the join before it makes a row.
+    whose members are still alone after a round must be compared pair by pair, and gets many. Both numbers grow
+    fourfold in each round, so the number of rounds grows with the logarithm of the longest list. Pairs that sizes and places rule out leave the join before it makes a row.
     """
     few, some, many = join.pivots
     scattered = alone * 100 >= members * join.scattered_percent
-    long = (F.lit(few), F.when(scattered, F.lit(many)).otherwise(F.lit(some)), F.lit(many * 4 ** max(0, number - 2)))[min(number, 2)]
+    grown = some * 4 ** max(0, number - 1)
+    long = F.lit(few) if number == 0 else F.when(scattered, F.lit(many * 4 ** (number - 1))).otherwise(F.lit(grown))
     return F.when(members <= join.short, F.lit(join.short)).otherwise(long)
 
 
