@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityops.llm.words import slices
+from entityops.llm.words import give_back, slices
 
 
 @dataclass(frozen=True)
@@ -194,6 +194,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text
         columns = {"doc_id": right.column("doc"), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out, pa.binary())}
         if tokens is not None:
             columns["decoded"] = pa.array([_bytes_of(data, *tokens.value) for data in out], pa.binary())
+        del out, place, size, flat, start, count
+        give_back()
         return pa.table(columns)
 
     schema = f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded

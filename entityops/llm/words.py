@@ -97,6 +97,21 @@ def slices(batches, column: int, most_bytes: int = 8 << 20) -> Iterator:
             end = max(begin + 1, int(np.searchsorted(size, done + most_bytes, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python processes between tasks, and they share an executor's memory with it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_bytes(column) -> list[bytes]:
