@@ -84,8 +84,12 @@ def _unpacked(data: bytes, open_: zstandard.ZstdDecompressor) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-def dictionary_rows(docs: DataFrame, text: str, pattern: str) -> DataFrame:
-    """(block, place, word): the distinct pre-tokens of each block in the order of their first mention."""
+def dictionary_rows(docs: DataFrame, text: str, pattern: str, doc_id: str = "doc_id") -> DataFrame:
+    """(block, place, word): the distinct pre-tokens of each block in the order of their first mention.
+
+    Reads the columns that ``_position_rows`` reads: Spark closes batches by rows and by the bytes of all
+    columns, and both scans have to cut the same blocks.
+    """
 
     def run(batches):
         find = regex.compile(pattern).findall
@@ -101,7 +105,7 @@ def dictionary_rows(docs: DataFrame, text: str, pattern: str) -> DataFrame:
                     names=["block", "place", "word"],
                 )
 
-    return docs.select(F.lit(0).alias("_"), F.col(text)).mapInArrow(run, "block long, place int, word string")
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, "block long, place int, word string")
 
 
 class _Numbers(dict):
@@ -174,7 +178,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text
 
     With ``decoded`` the ids are also decoded again where they were put together, as ``decode`` does it.
     """
-    filled = encode_words(dictionary_rows(docs, text, vocabulary.pattern), vocabulary)
+    filled = encode_words(dictionary_rows(docs, text, vocabulary.pattern, doc_id), vocabulary)
     positions = _position_rows(docs, doc_id, text, vocabulary.pattern)
     kind = docs.schema[doc_id].dataType.simpleString()
     tokens = docs.sparkSession.sparkContext.broadcast(_byte_table(vocabulary)) if decoded else None

@@ -58,6 +58,22 @@ def test_byte_bpe_equals_the_library(spark, reference):
     assert byte_bpe.encode(table.limit(0), byte_vocabulary()).count() == 0
 
 
+def test_batches_closed_by_bytes(spark, reference, tmp_path):
+    """Blocks of one number hold the same rows in both scans, also where Spark closes batches by their bytes."""
+    rng = random.Random(3)
+    texts = {f"document number {i:06d}": "".join(rng.choices("ab cd e.", k=rng.randint(0, 300))) for i in range(400)}
+    spark.createDataFrame(list(texts.items()), "doc_id string, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4096")
+    try:
+        got = byte_bpe.encode(spark.read.parquet(f"{tmp_path}/docs"), byte_vocabulary(), decoded=True).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == {k: reference.encode_ordinary(t) for k, t in texts.items()}
+    assert len(got) == len(texts) and all(bytes(r.decoded) == texts[r.doc_id].encode() for r in got)
+
+
 def test_each_word_is_encoded_in_one_place(spark):
     table = docs(spark, rows_of(["the cat", "the dog the", "a cat"])).repartition(3)
     rows = byte_bpe.dictionary_rows(table, "text", public_tokenizers.PATTERN).collect()
