@@ -20,9 +20,13 @@ def _with_text(docs: DataFrame, names: list[str], text) -> DataFrame:
     return docs.select(*[new[c].alias(c) if c in new else F.col(c) for c in names])
 
 
+#: A number of documents alone makes a line frequent, so that a large host loses its repeated lines like a small one.
+LINE_LIMITS = quality_rules.Limits(line_percent=0)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that too many documents of their source repeat."""
-    judged = quality_rules.apply_rules(docs).where("kept")
+    judged = quality_rules.apply_rules(docs, LINE_LIMITS).where("kept")
     return _with_text(judged, docs.columns, F.col("clean_text"))
 
 

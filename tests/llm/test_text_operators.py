@@ -8,6 +8,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from entityops.llm import decontaminate, jaccard_join, license_scan, privacy, quality_rules
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, _row string, score double"
@@ -54,6 +55,17 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert got[13].clean_text == rows[13][1]
 
 
+def test_pipeline_removes_lines_of_a_hot_host(spark):
+    """Eleven documents make a line frequent in a host of any size, ten do not."""
+    own = "document {} of this host has many more words than ten and keeps all of them to itself"
+    hot = [(i, ("menu of the host\n" if i < 15 else "legal line\n" if i < 25 else "") + own.format(i), "hot") for i in range(400)]
+    small = [(1000 + i, "menu of the host\n" + own.format(i), "small") for i in range(11)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality_stage(spark, docs(spark, hot + small), "").collect()}
+    assert len(got) == 411
+    assert {i for i, t in got.items() if t.startswith("menu")} == {0, 1000}  # the smallest id of each host
+    assert {i for i, t in got.items() if t.startswith("legal")} == set(range(15, 25))
+
+
 def test_rules_keep_their_steps_apart_under_a_filter(spark):
     kept = quality_rules.apply_rules(docs(spark, [(1, "a b c d e f g h i j k", "h")])).where("kept")
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
