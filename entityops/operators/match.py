@@ -74,24 +74,27 @@ def match_reference(values: DataFrame, reference: DataFrame) -> DataFrame:
 def unique_lookup(keys: DataFrame, master: DataFrame, top: int = 5) -> DataFrame:
     """The only live master row behind a search key, or the only one with exactly the wanted code.
 
-    keys: search_key, code; master: search_key, code, name, deleted, ordinal.  The search returns the
-    first ``top`` rows of its key, so the master side is cut to those before the join.
+    keys: search_key, code and optionally country; master: search_key, code, name, deleted, ordinal and optionally
+    country, swift_code, branch_name, which come back with the prefix ``resolved_``.  The search returns the first
+    ``top`` rows of its key and country, so the master side is cut to those before the join.
     """
-    found = top_rows(master, ["search_key"], [F.col("ordinal")], top).where(~F.coalesce("deleted", F.lit(False))).select(
-        "search_key", F.col("code").alias("_code"), F.col("name").alias("_name")
+    scope = ["country"] if "country" in keys.columns and "country" in master.columns else []
+    more = [c for c in ("country", "swift_code", "branch_name") if c in master.columns]
+    found = top_rows(master, ["search_key", *scope], [F.col("ordinal")], top).where(~F.coalesce("deleted", F.lit(False))).select(
+        "search_key", *scope, *[F.col(c).alias(f"_{c}") for c in ("code", "name", *more)]
     )
-    wanted = keys.select("search_key", "code").distinct()
+    wanted = keys.select("search_key", "code", *scope).distinct()
     exact = F.upper(T.strip(F.col("_code"))) == F.upper(T.strip(F.col("code")))
-    row = F.struct("_code", "_name")
+    row = F.struct(*[f"_{c}" for c in ("code", "name", *more)])
     return (
-        wanted.join(found, "search_key")
-        .groupBy("search_key", "code")
+        wanted.join(found, ["search_key", *scope])
+        .groupBy("search_key", "code", *scope)
         .agg(
             F.count(F.lit(1)).alias("_n"), F.count_if(exact).alias("_exact"), F.min(row).alias("_any"), F.min(F.when(exact, row)).alias("_hit")
         )
         .withColumn("_pick", F.when(F.col("_n") == 1, F.col("_any")).when(F.col("_exact") == 1, F.col("_hit")))
         .where(T.present(F.col("_pick._code")))
-        .select("search_key", "code", F.col("_pick._code").alias("resolved_code"), F.col("_pick._name").alias("resolved_name"))
+        .select("search_key", "code", *scope, *[F.col(f"_pick._{c}").alias(f"resolved_{c}") for c in ("code", "name", *more)])
     )
 
 

@@ -89,11 +89,17 @@ def merge_plan(patches: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFr
 def resolve_and_apply(options: DataFrame, cities: DataFrame, banks: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(applied, skipped) cells of the selected options.
 
-    options: record_id, path, label, value, needs_resolution, ordinal; cities: see ``match_reference``;
-    banks: search_key, code, name, deleted, ordinal (search_key = upper code); records: long form.
+    options: record_id, path, label, value, needs_resolution, ordinal and the country of the record; cities: see
+    ``match_reference``; banks: see ``unique_lookup`` (search_key = upper code); records: long form.
     City options are matched with the region of the selected options or else of the record; bank
-    options become the fields of the one matching bank; the rest is set as it is.
+    options become up to five fields of the one matching bank; the rest is set as it is.  References with a country
+    (ISO code in capitals) are searched in the country of the option only.
     """
+    if "country" not in options.columns and "country" in {*cities.columns, *banks.columns}:
+        raise ValueError("references of several countries need the country of each option")
+    if "country" in options.columns:
+        options = options.withColumn("country", F.upper(T.strip(F.col("country"))))
+    city_scope, bank_scope = (["country"] if "country" in x.columns else [] for x in (cities, banks))
     needs = F.coalesce("needs_resolution", F.lit(""))
     base = F.regexp_extract("path", r"^(postalAddresses\.\d+)", 1)
     plain = options.where(~needs.isin("cityCode", "bankingInstitutionCode")).select("record_id", "path", "value", "ordinal")
@@ -117,14 +123,14 @@ def resolve_and_apply(options: DataFrame, cities: DataFrame, banks: DataFrame, r
     own = F.col("path").endswith(".cityName")
     asked = asked.select(
         "record_id", "path", "_base", "ordinal", F.when(own, F.coalesce("value", F.lit(""))).otherwise(F.coalesce("_cityName", "value", F.lit(""))).alias("value"),
-        F.col("_regionCode").alias("region_code"), F.col("_regionName").alias("region_name"),
+        F.col("_regionCode").alias("region_code"), F.col("_regionName").alias("region_name"), *city_scope,
     )
-    found = match.match_reference(asked, cities.drop("country"))
+    found = match.match_reference(asked, cities)
     details = cities.select(
-        F.col("city_name").alias("matched_name"), F.coalesce(F.nullif("code", F.lit("")), F.col("city_name")).alias("matched_code"),
+        *city_scope, F.col("city_name").alias("matched_name"), F.coalesce(F.nullif("code", F.lit("")), F.col("city_name")).alias("matched_code"),
         F.col("subdivision_code").alias("_sub_code"), F.col("subdivision_name").alias("_sub_name"),
-    ).dropDuplicates(["matched_name", "matched_code"])
-    found = found.join(details, ["matched_name", "matched_code"], "left")
+    ).dropDuplicates([*city_scope, "matched_name", "matched_code"])
+    found = found.join(details, [*city_scope, "matched_name", "matched_code"], "left")
     hit = F.col("matched_code").isNotNull()
     city_cells = struct_rows(
         "field value position",
@@ -138,10 +144,13 @@ def resolve_and_apply(options: DataFrame, cities: DataFrame, banks: DataFrame, r
     unresolved = found.where(~hit).select("record_id", "path", F.lit("city name applied only").alias("reason"))
 
     bank = options.where(needs == "bankingInstitutionCode").withColumn("code", F.upper(T.strip(F.coalesce("value", F.lit("")))))
-    resolved = match.unique_lookup(bank.select(F.col("code").alias("search_key"), "code"), banks)
-    banked = bank.join(resolved.select("code", "resolved_code", "resolved_name"), "code", "left")
+    resolved = match.unique_lookup(bank.select(F.col("code").alias("search_key"), "code", *bank_scope), banks)
+    banked = bank.join(resolved.drop("search_key"), ["code", *bank_scope], "left")
     bank_base = F.replace("path", F.lit(".ifsc"), F.lit(""))
-    bank_cells = struct_rows("field value position", ("bankingInstitutionCode", F.col("resolved_code"), 1), ("bankName", F.col("resolved_name"), 2))
+    bank_fields = [("bankingInstitutionCode", "code"), ("bankName", "name"), ("swiftCode", "swift_code"), ("bankBranchName", "branch_name"), ("iso2CountryCode", "country")]
+    bank_cells = struct_rows(
+        "field value position", *[(field, F.col(f"resolved_{c}"), i) for i, (field, c) in enumerate(bank_fields, 1) if f"resolved_{c}" in banked.columns]
+    )
     bank_set = banked.where("resolved_code IS NOT NULL").select("record_id", bank_base.alias("_base"), "ordinal", F.inline(bank_cells)).where("value <> ''").select(
         "record_id", F.concat_ws(".", "_base", "field").alias("path"), "value", "ordinal", "position"
     )

@@ -448,3 +448,32 @@ def test_exact_duplicates_keep_every_copy(spark):
     df = spark.createDataFrame([(i, "same" if i % 3 else f"text {i}") for i in range(60)], "id long, body string")
     got = {r.id: r.first_id for r in keyed.exact_duplicates(df, "id", "body").collect()}
     assert got == {i: 1 if i % 3 else i for i in range(60)}
+
+
+def test_resolution_stays_in_the_country_of_the_option(spark):
+    options = spark.createDataFrame(
+        [(1, "postalAddresses.0.cityName", "paris", "cityCode", 1, "us"), (2, "postalAddresses.0.cityName", "Paris", "cityCode", 1, "FR"), (3, "postalAddresses.0.cityName", "Paris", "cityCode", 1, "IN")]
+        + [(1, "vendorBankAccounts.0.ifsc", "b1", "bankingInstitutionCode", 2, "us"), (2, "vendorBankAccounts.0.ifsc", "B1", "bankingInstitutionCode", 2, "FR"), (3, "vendorBankAccounts.0.ifsc", "B1", "bankingInstitutionCode", 2, "IN")],
+        "record_id int, path string, value string, needs_resolution string, ordinal int, country string",
+    ).withColumn("label", F.col("path"))
+    cities = spark.createDataFrame(
+        [(1, "Paris", "", "IDF", "Ile-de-France", "FR"), (2, "Paris", "", "TX", "Texas", "US")],
+        "ordinal int, city_name string, code string, subdivision_code string, subdivision_name string, country string",
+    )
+    banks = spark.createDataFrame(
+        [("B1", "B1", "Banque", False, 1, "FR", "SWFR", "Centre"), ("B1", "B1", "Bank", False, 2, "US", "SWUS", None)],
+        "search_key string, code string, name string, deleted boolean, ordinal int, country string, swift_code string, branch_name string",
+    )
+    records = spark.createDataFrame([], "record_id int, path string, value string")
+    applied, skipped = resolve.resolve_and_apply(options, cities, banks, records)
+    got = {(r.record_id, r.path.split(".")[-1]): r.value for r in applied.collect()}
+    assert {k: v for (i, k), v in got.items() if i == 1} == {
+        "cityName": "Paris", "cityCode": "Paris", "regionCode": "TX", "regionName": "Texas", "bankingInstitutionCode": "B1", "bankName": "Bank", "swiftCode": "SWUS", "iso2CountryCode": "US",
+    }
+    assert {k: v for (i, k), v in got.items() if i == 2} == {
+        "cityName": "Paris", "cityCode": "Paris", "regionCode": "IDF", "regionName": "Ile-de-France", "bankingInstitutionCode": "B1", "bankName": "Banque", "swiftCode": "SWFR", "bankBranchName": "Centre", "iso2CountryCode": "FR",
+    }
+    assert {k: v for (i, k), v in got.items() if i == 3} == {"cityName": "Paris"}
+    assert sorted((r.record_id, r.reason) for r in skipped.collect()) == [(3, "city name applied only"), (3, "no bank match")]
+    with pytest.raises(ValueError, match="country"):
+        resolve.resolve_and_apply(options.drop("country"), cities, banks, records)
