@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityops.llm import byte_bpe, decontaminate, html_blocks, jaccard_join, language, license_scan, mil_quality, privacy, quality_rules, token_files
+from entityops.llm import byte_bpe, decontaminate, html_blocks, jaccard_join, language, license_scan, mil_quality, mixing, periodic_runs, privacy, quality_rules, token_files
 from entityops.llm.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,61 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
     model = html_blocks.fit(pages)
     return html_blocks.main_text(pages.select("page_id", "url", "html"), model).drop("html")
+
+
+WORDS = "[\\x20\\x09-\\x0D]+"
+
+
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where the CRC-32 of the id ends in 0, the words from one place on repeat a stretch of them."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(crc % 10 == 0, F.filter(F.split("text", WORDS), lambda w: w != ""))
+    some = docs.select("doc_id", "text", words.alias("words"), F.floor(crc / 10).alias("g"))
+    some = some.withColumns({"n": F.size("words"), "first": F.when(F.size("words") > 0, F.col("g") % F.size("words"))})
+    some = some.withColumn("period", 1 + F.floor((F.col("n") - F.col("first")) / (3 + F.col("g") % 8)))
+    moved = F.transform("words", lambda w, i: F.when(i < F.col("first"), w).otherwise(F.get("words", (F.col("first") + (i - F.col("first")) % F.col("period")).cast("int"))))
+    return some.select("doc_id", F.when(F.col("n") > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text after repeats were planted, the longest of them, and digests of runs and collapsed texts."""
+    found = periodic_runs.find_runs(with_planted_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length = -F.col("best.less")
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(length * 1000 / F.col("best.period")).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM d GROUP BY source),
+p AS (SELECT *, sum(source_size) OVER before AS s_before, sum(w) OVER before AS w_before, sum(source_size) OVER () AS s_all, sum(w) OVER () AS w_all
+      FROM s WINDOW before AS (ORDER BY source_size * 10 // w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, 200 * source_size * (w_all - coalesce(w_before, 0)) >= (150 * s_all - 200 * coalesce(s_before, 0)) * w AS cut FROM p),
+l AS (SELECT *, (150 * s_all - 200 * coalesce(sum(source_size) FILTER (cut) OVER (), 0)) * w AS shared, 100 * coalesce(sum(w) FILTER (NOT cut) OVER (), 1) AS unit FROM c),
+t AS (SELECT source, source_size, CASE WHEN cut THEN CAST(2 * source_size AS DOUBLE) ELSE CAST(shared AS DOUBLE) / CAST(unit AS DOUBLE) END AS target,
+             CASE WHEN cut THEN 2 * source_size ELSE shared // unit END AS budget FROM l),
+o AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.budget, CASE WHEN t.source_size > 0 THEN t.budget // t.source_size ELSE 0 END AS epochs,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || d.size), d.doc_id, d.size
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS BIGINT) AS taken
+FROM o"""
+
+
+@query("op13_mix_sources", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of every document."""
+    return mixing.mix_plan(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
