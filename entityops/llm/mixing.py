@@ -81,7 +81,7 @@ def source_targets(sizes: DataFrame, mix: Mix, folder: str) -> DataFrame:
     whole = F.lit(mix.share_percent * int(all_["size"] or 0)).cast(_WIDE)
     left = whole - F.col("_size_before") * (100 * mix.epochs)
     weight_left = F.lit(int(all_["weight"] or 0)).cast(_WIDE) - F.col("_weight_before")
-    cut = F.col("source_size").cast(_WIDE) * (100 * mix.epochs) * weight_left >= left * F.col("weight")
+    cut = F.col("source_size").cast(_WIDE) * (100 * mix.epochs) * weight_left <= left * F.col("weight")
     levelled = levelled.withColumn("_cut", cut)
     open_ = ~F.col("_cut")
     rest = levelled.agg(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityops.llm import byte_bpe, decontaminate, html_blocks, jaccard_join, language, license_scan, mil_quality, mixing, periodic_runs, privacy, quality_rules, token_files
+from entityops.llm import byte_bpe, conversations, decontaminate, html_blocks, jaccard_join, language, license_scan, mil_quality, mixing, periodic_runs, privacy, quality_rules, token_files
 from entityops.llm.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,7 +189,7 @@ WITH d AS (SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coales
 s AS (SELECT source, sum(size) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM d GROUP BY source),
 p AS (SELECT *, sum(source_size) OVER before AS s_before, sum(w) OVER before AS w_before, sum(source_size) OVER () AS s_all, sum(w) OVER () AS w_all
       FROM s WINDOW before AS (ORDER BY source_size * 10 // w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c AS (SELECT *, 200 * source_size * (w_all - coalesce(w_before, 0)) >= (150 * s_all - 200 * coalesce(s_before, 0)) * w AS cut FROM p),
+c AS (SELECT *, 200 * source_size * (w_all - coalesce(w_before, 0)) <= (150 * s_all - 200 * coalesce(s_before, 0)) * w AS cut FROM p),
 l AS (SELECT *, (150 * s_all - 200 * coalesce(sum(source_size) FILTER (cut) OVER (), 0)) * w AS shared, 100 * coalesce(sum(w) FILTER (NOT cut) OVER (), 1) AS unit FROM c),
 t AS (SELECT source, source_size, CASE WHEN cut THEN CAST(2 * source_size AS DOUBLE) ELSE CAST(shared AS DOUBLE) / CAST(unit AS DOUBLE) END AS target,
              CASE WHEN cut THEN 2 * source_size ELSE shared // unit END AS budget FROM l),
@@ -206,3 +206,34 @@ FROM o"""
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes of every document."""
     return mixing.mix_plan(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text): rows dropped, emptied, cut, repeated or given to the user, by the CRC-32 of id and turn."""
+    number = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    copies = F.when(number == 0, 0).when(number == 3, 2).otherwise(1)
+    return turns.select(
+        "conv_id",
+        "turn",
+        F.when(number == 4, "user").otherwise(role).alias("role"),
+        F.when(number == 1, "").when(number == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"),
+    ).drop("copy")
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the digest of every conversation after rows were damaged."""
+    turns = _read(spark, sf_dir, "conversations")
+    repaired = conversations.repair(damaged(turns))
+    found = repaired.summary.join(conversations.text_digests(repaired.turns).withColumnRenamed("conv_id", "_d"), F.col("conv_id").eqNullSafe(F.col("_d")), "left").drop("_d")
+    ids = turns.select(F.col("conv_id").alias("_id")).distinct()
+    rows = ids.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return rows.select(
+        F.col("_id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )

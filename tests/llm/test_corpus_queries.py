@@ -21,14 +21,14 @@ pytestmark = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="test tables a
 @pytest.fixture(scope="module")
 def tables():
     connection = duckdb.connect()
-    for name in ("documents", "benchmark", "labels", "pages"):
+    for name in ("documents", "benchmark", "labels", "pages", "conversations"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
     return connection
 
 
 def test_every_number_has_a_query():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
