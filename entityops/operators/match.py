@@ -15,6 +15,7 @@ from entityops import constants as C
 from entityops.functions import text as T
 from entityops.functions.ordering import first_row, top_rows
 from entityops.functions.rows import struct_rows
+from entityops.operators.duplicates import similar_names
 
 MIN_REFERENCE_SCORE = 60
 
@@ -215,8 +216,7 @@ def duplicate_candidates(records: DataFrame, min_jaccard: float = 0.5, top: int
     """The ``top`` most similar other records of each record, exact, for any number of copies.
 
     records: record_id, name, country, postal_code; names of any script.  Only distinct names are paired: two names can reach
-    ``min_jaccard`` only if they share one of their rarest tokens, so the pairs come from an equi-join on
-    those.  Within a name, records differ only in country and postal code, and a record's score depends
+    ``min_jaccard`` only if they share two of their rarest tokens (``duplicates.similar_names``).  Within a name, records differ only in country and postal code, and a record's score depends
     on which of the two agree.  The first ``top + 1`` ids of a name alone, of a name with a country, with
     a postal code and with both therefore hold every record that can be among the best.
     """
@@ -228,22 +228,8 @@ def duplicate_candidates(records: DataFrame, min_jaccard: float = 0.5, top: int
     # the smallest record id of a name stands for the name, and likewise for a group of equal records
     ids = keyed.groupBy("name").agg(F.min("record_id").alias("nid"))
     rows = keyed.join(ids, "name").select("record_id", "nid", "country", "postal")
-    names = ids.withColumn("_tokens", F.array_distinct(F.split("name", " "))).select("nid", "_tokens")
-    tokens = names.select("nid", F.size("_tokens").alias("_size"), F.explode("_tokens").alias("token"))
-    frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_freq"))
-    keep = (F.col("_size") - F.ceil(F.col("_size") * min_jaccard) + 1).cast("int")
-    rarest = (
-        tokens.join(frequency, "token").groupBy("nid", "_size").agg(F.array_sort(F.collect_list(F.struct("_freq", "token"))).alias("_rare"))
-        .select("nid", F.explode(F.slice("_rare", F.lit(1), keep)).alias("_r")).select("nid", F.col("_r.token").alias("token"))
-    )
-    alike = rarest.withColumnRenamed("nid", "a").join(rarest.withColumnRenamed("nid", "b"), "token").select("a", "b").distinct()
-    pairs = (
-        alike.join(names.select(F.col("nid").alias("a"), F.col("_tokens").alias("_ta")), "a")
-        .join(names.select(F.col("nid").alias("b"), F.col("_tokens").alias("_tb")), "b")
-        .withColumn("_share", F.size(F.array_intersect("_ta", "_tb")) / F.size(F.array_union("_ta", "_tb")))
-        .where(F.col("_share") >= min_jaccard)
-        .select("a", "b", F.rint(F.col("_share") * 100).cast("int").alias("name_score"))
-    )
+    names = ids.select("nid", F.array_distinct(F.split("name", " ")).alias("tokens"))
+    pairs = similar_names(names, min_jaccard)
 
     def heads(*fields: str) -> DataFrame:
         """First ids of each (name, fields)."""

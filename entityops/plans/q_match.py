@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from entityops import constants as C
 from entityops.functions.rows import struct_rows
+from entityops.operators import duplicates as D
 from entityops.operators import match as M
 from entityops.operators import trust as U
 from entityops.plans import sql
@@ -530,6 +531,33 @@ def duplicate_candidates(t):
     return M.duplicate_candidates(names)
 
 
+@query(
+    "jn_13_search_duplicates",
+    """WITH r AS (SELECT p_partkey AS id, list_distinct(string_split(replace(lower(concat(p_name, ' ', p_brand)), '#', ' '), ' ')) AS tk, upper(p_type) AS country, CAST(p_size % 7 AS VARCHAR) AS postal,
+    CASE WHEN p_size % 4 = 0 THEN '' ELSE 'street ' || p_size END AS street, CASE WHEN p_size % 3 = 0 THEN 'city of ' || lower(p_name) ELSE '' END AS city,
+    list_concat(CASE WHEN p_size % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['T' || p_partkey % 997] END, CASE WHEN p_size % 2 = 0 THEN [upper(p_brand)] ELSE CAST([] AS VARCHAR[]) END) AS tax FROM part),
+p AS (SELECT a.id AS record_id, b.id AS candidate_id, len(list_intersect(a.tk, b.tk))::DOUBLE / len(list_distinct(list_concat(a.tk, b.tk))) AS j,
+    CASE WHEN len(a.tax) > 0 THEN CASE WHEN list_has_any(a.tax, b.tax) THEN 100 ELSE 0 END END AS tax_score, CASE WHEN a.street <> '' THEN CASE WHEN a.street = b.street THEN 100 ELSE 0 END END AS street_score,
+    CASE WHEN a.city <> '' THEN CASE WHEN a.city = b.city THEN 100 ELSE 0 END END AS city_score, CASE WHEN a.postal = b.postal THEN 100 ELSE 0 END AS postal_score,
+    CASE WHEN a.country = b.country THEN 100 ELSE 0 END AS country_score FROM r a JOIN r b ON a.id <> b.id),
+s AS (SELECT *, CASE WHEN j >= 0.5 THEN CAST(round_even(j * 100, 0) AS INT) ELSE 0 END AS name_score FROM p WHERE j >= 0.5 OR tax_score = 100 OR (street_score = 100 AND city_score = 100)),
+w AS (SELECT *, CAST(round_even((name_score * 30 + coalesce(tax_score, 0) * 25 + coalesce(street_score, 0) * 15 + coalesce(city_score, 0) * 15 + postal_score * 10 + country_score * 5)
+    / (45 + CASE WHEN tax_score IS NULL THEN 0 ELSE 25 END + CASE WHEN street_score IS NULL THEN 0 ELSE 15 END + CASE WHEN city_score IS NULL THEN 0 ELSE 15 END), 0) AS INT) AS sc FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY sc DESC, candidate_id) AS rank FROM w)
+SELECT record_id, CAST(rank AS INT) AS rank, candidate_id, name_score, tax_score, street_score, city_score, postal_score, country_score, sc / 100 AS score FROM k WHERE rank <= 5""",
+)
+def search_duplicates(t):
+    """Requests as PRJ-9 builds them: opaque city codes and blank tax numbers go, half of the records share a brand's tax number."""
+    size = F.col("p_size")
+    row = lambda number: F.struct(number.alias("number"), F.lit(None).cast("string").alias("country"), F.lit(None).cast("string").alias("type_code"), F.lit(None).cast("string").alias("slot"))
+    records = t.part.select(
+        F.col("p_partkey").alias("record_id"), F.concat(F.lit("  "), "p_name", F.lit(" "), "p_brand").alias("name"), F.col("p_type").alias("country"), (size % 7).cast("string").alias("postal_code"),
+        F.when(size % 4 != 0, F.concat(F.lit("Street "), size.cast("string"))).alias("street"), F.when(size % 3 == 0, F.concat(F.lit("City of "), "p_name")).otherwise("GEO42").alias("city"),
+        F.array(row(F.when(size % 5 == 0, " ").otherwise(F.concat(F.lit("T"), (F.col("p_partkey") % 997).cast("string")))), row(F.when(size % 2 == 0, F.col("p_brand")))).alias("tax"),
+    )
+    return D.search_duplicates(*M.blocking_request(records, ["record_id"]))
+
+
 @query(
     "srt_1_top_k_per_group",
     """SELECT block, record_id, size, CAST(rank AS INT) AS rank FROM (SELECT block, record_id, size, row_number() OVER (PARTITION BY block ORDER BY size DESC, record_id) AS rank FROM v_names) WHERE rank <= 10""",
