@@ -9,6 +9,7 @@ from entityops.operators import usage as G
 from entityops.plans import sql
 from entityops.plans.registry import query
 from entityops.streaming import operators as X
+from entityops.streaming import stateful as S
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -184,6 +185,29 @@ def known_runs(t):
     return X.run_state(t.v_runs(), runs).drop("updated_at")
 
 
+_CREATED = """r AS (SELECT user_id AS run_id, event_id AS ordinal, ts, CASE event_type WHEN 'signup' THEN 'RUN_CREATED' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'RUN_FINISHED' ELSE 'RUN_STARTED' END
+    WHEN 'click' THEN 'TOOL_CALL_START' WHEN 'view' THEN 'STEP_FINISHED' ELSE 'BAD_FRAME' END AS type FROM events),
+c AS (SELECT run_id, min(ordinal) AS st, arg_min(ts, ordinal) AS created FROM r WHERE type = 'RUN_CREATED' GROUP BY 1),
+l AS (SELECT c.run_id, c.created, r.ordinal, r.ts, r.type FROM c LEFT JOIN r ON r.run_id = c.run_id AND r.ordinal >= c.st AND r.ts < c.created + INTERVAL 5 DAY AND r.type NOT IN ('RUN_CREATED', 'BAD_FRAME')),
+g AS (SELECT run_id, created, arg_max(type, ordinal) FILTER (type IN ('RUN_STARTED', 'RUN_FINISHED')) AS last, count(*) FILTER (type = 'STEP_FINISHED') AS stage_count, count(*) FILTER (type = 'TOOL_CALL_START') AS tool_call_count,
+    greatest(created, coalesce(max(ts), created)) AS updated_at FROM l GROUP BY run_id, created)"""
+
+
+@query(
+    "str_1_run_state_with_expiry",
+    f"""WITH {_CREATED} SELECT run_id, CASE WHEN (SELECT max(ts) FROM events) >= created + INTERVAL 5 DAY THEN 'expired' WHEN last IS NULL THEN 'pending' WHEN last = 'RUN_FINISHED' THEN 'done' ELSE 'running' END AS status,
+  stage_count, tool_call_count, updated_at, created + INTERVAL 5 DAY AS expires_at FROM g""",
+)
+def runs_with_expiry(t):
+    """The batch twin of the stream with timers; five days, as the events span a month."""
+    kind = F.col("event_type")
+    kinds = (
+        F.when(kind == "signup", "RUN_CREATED").when((kind == "purchase") & (F.col("event_id") % 2 == 0), "RUN_FINISHED").when(kind == "purchase", "RUN_STARTED")
+        .when(kind == "click", "TOOL_CALL_START").when(kind == "view", "STEP_FINISHED").otherwise("BAD_FRAME")
+    )
+    return S.expiring_runs(t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ordinal"), "ts", kinds.alias("type")), "5 days")
+
+
 @query(
     "agg_18_run_summary",
     f"WITH {_RUNS} SELECT run_id, stage_count, tool_call_count FROM state ORDER BY updated_at DESC, last_ordinal DESC LIMIT 500",
@@ -212,6 +236,23 @@ def rolling_feedback(t):
     return X.rolling_feedback(t.v_feedback())
 
 
+@query(
+    "str_3_last_feedback_hints",
+    """WITH latest AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY ts DESC, ordinal DESC) AS age FROM v_feedback),
+rated AS (SELECT country, connector AS subject, rating FROM latest WHERE age <= 500 UNION ALL SELECT country, 'conn_x', rating FROM latest WHERE age <= 500),
+c AS (SELECT country, subject, count(*) AS n, count(*) FILTER (rating = 'not_helpful') AS bad, CASE subject WHEN 'conn_2' THEN 1 WHEN 'conn_x' THEN 2 ELSE 3 END AS o FROM rated WHERE subject IN ('conn_2', 'conn_x', 'conn_0') GROUP BY country, subject
+  UNION ALL SELECT country, 'country', count(*), count(*) FILTER (rating = 'not_helpful'), 9 FROM latest WHERE age <= 8 GROUP BY country),
+h AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY o) AS hint_no FROM c WHERE n >= 8 AND bad / n >= 0.4)
+SELECT e.country, CAST(e.k AS INT) AS hint_no, h.subject, CAST(bad * 100 // n AS BIGINT) AS percent FROM (SELECT DISTINCT country, unnest([1, 2, 3]) AS k FROM v_feedback) e
+LEFT JOIN h ON h.country IS NOT DISTINCT FROM e.country AND h.hint_no = e.k""",
+    ("v_feedback",),
+)
+def last_feedback_hints(t):
+    """The batch twin of the stream that keeps the last 500 ratings of a country."""
+    rows = t.v_feedback().withColumn("connector_ids", F.array(F.col("connector"), F.lit("conn_x"))).drop("connector")
+    return S.last_feedback_hints(rows, ["conn_2", "conn_x", "conn_0"])
+
+
 @query(
     "str_4_usage_by_day",
     f"""SELECT date_trunc('day', ts) AS day, {_FEATURE} AS feature, count(*) AS generations, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens,
@@ -227,6 +268,16 @@ def dedup_uploads(t):
     return X.dedup_uploads(t.documents.select("doc_id", "text"), F.col("text"), order="doc_id").select("content_hash", "doc_id")
 
 
+@query(
+    "str_5_first_uploads",
+    """SELECT CAST(doc_id AS VARCHAR) AS id, sha256(text) AS content_hash, CAST(min(doc_id) OVER (PARTITION BY text) AS VARCHAR) AS first_id, min(doc_id) OVER (PARTITION BY text) <> doc_id AS is_duplicate FROM documents""",
+)
+def first_uploads(t):
+    """The batch twin of the stream in which each copy leaves with the id it repeats; documents arrive in the order of their ids."""
+    docs = t.documents.select("doc_id", "text", F.timestamp_seconds("doc_id").alias("ts"))
+    return S.first_uploads(docs, F.col("text")).select("id", "content_hash", "first_id", "is_duplicate")
+
+
 @query(
     "str_6_enrichment_progress",
     """SELECT session_id, stage, finished, CAST(row_number() OVER (PARTITION BY session_id ORDER BY fo) AS INT) AS place
