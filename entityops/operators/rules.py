@@ -29,7 +29,7 @@ def as_text(col: Column, data_type) -> Column:
     return col.cast("string")
 
 
-def _truthless(col: Column, data_type) -> Column:
+def truthless(col: Column, data_type) -> Column:
     """Zero and false count as empty for the length operators."""
     if isinstance(data_type, BooleanType):
         return ~col
@@ -61,7 +61,7 @@ def predicate(op: str, col: Column, data_type, literals: list[str] | None = None
     def length(compare) -> Column:
         if first is None:
             return never
-        size = F.length(F.when(_truthless(col, data_type), F.lit("")).otherwise(F.coalesce(text, F.lit(""))))
+        size = F.length(F.when(truthless(col, data_type), F.lit("")).otherwise(F.coalesce(text, F.lit(""))))
         return compare(size, int(first))
 
     def dates(compare) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from entityops import constants as C
-from entityops.operators import audit, rules as R
+from entityops.operators import audit, rule_index as X, rules as R
 from entityops.plans import sql
 from entityops.plans.registry import query
 from entityops.sources import configs
@@ -133,6 +135,111 @@ def effective_state(t):
     )
 
 
+# --- many rules, several countries -----------------------------------------------------------
+
+INDEXED_FIELDS = ("status", "priority", "segment", "phone", "comment")
+INDEXED_COUNTRIES = ("AA", "BB", "CC")
+
+
+def generated_ruleset(country: str, n: int) -> dict:
+    """A rule set as a file holds it: ``n`` rules with one conditional action each; every ninth is a draft, every seventh for approval only."""
+    rules = []
+    for k in range(n):
+        field, target = INDEXED_FIELDS[k % 5], INDEXED_FIELDS[(k * 7 + len(country) + ord(country[0])) % 5]
+        limit = 1000 + (k * 37 + ord(country[0]) * 11) % 400 * 1000
+        test = {"fieldName": "total", "operator": "gte" if k % 2 else "lt", "values": [str(limit)]} if k % 3 else {"fieldName": "priority", "operator": "startsWith", "values": [f"{1 + k % 5}-"]}
+        action = ("makeRequired", "makeOptional", "makeApplicable")[k % 4 % 3]
+        rules.append(
+            {
+                "fieldName": field, "isRequired": k % 11 == 0, "isApplicable": k % 13 != 0, "regexPattern": "^[A-Z0-9+]" if k % 17 == 0 else None,
+                "dependencies": [{"ruleType": "conditional", "conditions": [test | {"action": {"targetFields": [target], "actionType": action}}]}],
+                "x": {"ruleId": f"{country}{k}", "status": "draft" if k % 9 == 8 else "active", "phases": ["approve"] if k % 7 == 6 else None},
+            }
+        )
+    return {"iso2CountryCode": country.lower(), "rules": rules}
+
+
+def _indexed_sql(counts: dict[str, int]) -> str:
+    """Rules and actions as tables, joined with the records; the last one that holds wins."""
+    base, actions = [], []
+    for country, n in counts.items():
+        for k, r in enumerate(generated_ruleset(country, n)["rules"]):
+            if r["x"]["status"] == "active" and r["x"]["phases"] is None:
+                pattern = "NULL" if r["regexPattern"] is None else "'" + r["regexPattern"] + "'"
+                base.append(f"('{country}', '{r['fieldName']}', {k}, {r['isRequired']}, {r['isApplicable']}, {pattern}, '{r['x']['ruleId']}')")
+                c = r["dependencies"][0]["conditions"][0]
+                limit = c["values"][0] if c["fieldName"] == "total" else "0"
+                actions.append(f"('{country}', '{c['action']['targetFields'][0]}', {k}, '{c['operator']}', {limit}, '{c['values'][0]}', '{c['action']['actionType']}', '{r['x']['ruleId']}')")
+    return f"""WITH r AS (SELECT o_orderkey AS record_id, o_orderstatus AS status, o_orderpriority AS priority, o_totalprice AS total, c_mktsegment AS segment,
+    CASE WHEN o_custkey % 4 <> 0 THEN concat('+49', o_custkey) END AS phone, CASE WHEN o_custkey % 7 = 0 THEN '  ' WHEN o_custkey % 5 = 0 THEN 'note' END AS comment,
+    CASE c_nationkey % 4 WHEN 0 THEN 'AA' WHEN 1 THEN 'BB' WHEN 2 THEN 'CC' ELSE 'DD' END AS country FROM orders JOIN customer ON o_custkey = c_custkey),
+b AS (SELECT * FROM (VALUES {", ".join(base)}) v(country, field, k, req, app, pattern, id)),
+s AS (SELECT country, field, arg_max(req, k) AS req, arg_max(app, k) AS app, arg_max(coalesce(pattern, ''), k) AS pattern, arg_max(id, k) AS id FROM b GROUP BY 1, 2),
+a AS (SELECT * FROM (VALUES {", ".join(actions)}) v(country, field, k, op, lim, lit, kind, owner)),
+h AS (SELECT r.record_id, a.field, arg_max(a.kind <> 'makeOptional', a.k) FILTER (a.kind <> 'makeApplicable') AS req, bool_or(a.kind = 'makeApplicable') AS app, count(*) AS hits, list(a.owner ORDER BY a.k) AS owners
+      FROM r JOIN a ON a.country = r.country AND CASE a.op WHEN 'gte' THEN r.total >= a.lim WHEN 'lt' THEN r.total < a.lim ELSE starts_with(r.priority, a.lit) END GROUP BY 1, 2)
+SELECT r.record_id, s.field AS path, coalesce(h.req, s.req) AS is_required, coalesce(nullif(h.app, false), s.app) AS is_applicable, s.pattern AS regex_pattern,
+  CAST(1 + coalesce(len(list_filter(h.owners, lambda x: x <> s.id)), 0) AS INT) AS n_rules, coalesce(list_filter(h.owners, lambda x: x <> s.id)[-1], s.id) AS last_rule,
+  CASE s.field WHEN 'status' THEN status WHEN 'priority' THEN priority WHEN 'segment' THEN segment WHEN 'phone' THEN phone ELSE comment END AS value
+FROM r JOIN s ON s.country = r.country LEFT JOIN h ON h.record_id = r.record_id AND h.field = s.field"""
+
+
+RULE_COUNTS = {"AA": 400, "BB": 350, "CC": 250}
+
+
+@query("jn_1_rules_of_three_countries", _indexed_sql(RULE_COUNTS))
+def rules_of_three_countries(t):
+    """A thousand rules, read as files hold them with status and phases, over the orders of three countries and one without rules."""
+    text = [(json.dumps(generated_ruleset(c, n)),) for c, n in RULE_COUNTS.items()]
+    files = t.orders.sparkSession.createDataFrame(text, "line string").select(F.from_json("line", configs.RULESET_SCHEMA).alias("r")).select("r.*")
+    nation = t.customer.select(F.col("c_custkey").alias("_k"), (F.col("c_nationkey") % 4).alias("_n"))
+    country = F.when(F.col("_n") == 0, "AA").when(F.col("_n") == 1, "BB").when(F.col("_n") == 2, "CC").otherwise("DD")
+    owner = t.orders.select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("_k")).join(nation, "_k").select("record_id", country.alias("country"))
+    states = X.evaluate_rulesets(order_records(t).join(owner, "record_id"), configs.rules_by_country(files), ["record_id"], phase="save")
+    return states.select(
+        "record_id", "path", "is_required", "is_applicable", F.coalesce("regex_pattern", F.lit("")).alias("regex_pattern"),
+        F.size("rule_ids").alias("n_rules"), F.element_at("rule_ids", -1).alias("last_rule"), "value",
+    )
+
+
+def _scoped(field, rule_id, scope, required, *dependencies):
+    return R.Rule(field, rule_id, required, True, None, scope, dependencies=dependencies)
+
+
+SCOPED_RULES = {
+    "F": [
+        _scoped("rate", "s1", "$.lines[*].taxes[*]", False, _when("total", "gte", ["150000"], "makeRequired", "rate")),
+        _scoped("rate", "s2", "$.lines[?(@.flag=='R')].taxes[?(@.kind!='vat')]", True),
+        _scoped("flag", "s3", "$.lines[0]", True),
+    ],
+    "O": [_scoped("rate", "s4", "$.lines[?(@.flag!='N')].taxes[*]", True, _when("total", "lt", ["50000"], "makeOptional", "rate"))],
+}
+
+
+@query(
+    "jn_1_nested_scopes",
+    """WITH l AS (SELECT l_orderkey, l_returnflag AS flag, l_tax AS tax, l_discount AS discount,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_tax, l_discount) - 1 AS i FROM lineitem),
+o AS (SELECT o_orderkey AS record_id, o_orderstatus AS country, o_totalprice AS total FROM orders),
+x AS (SELECT record_id, country, total, flag, i, 0 AS j, 'vat' AS kind, CAST(tax AS VARCHAR) AS rate FROM o JOIN l ON l_orderkey = record_id
+  UNION ALL SELECT record_id, country, total, flag, i, 1, 'duty', CASE WHEN discount > 0.05 THEN NULL ELSE CAST(discount AS VARCHAR) END FROM o JOIN l ON l_orderkey = record_id)
+SELECT record_id, concat('lines.', i, '.taxes.', j, '.rate') AS path, (flag = 'R' AND kind <> 'vat') OR total >= 150000 AS is_required,
+  CASE WHEN flag = 'R' AND kind <> 'vat' THEN CASE WHEN total >= 150000 THEN 's2,s1' ELSE 's2' END ELSE 's1' END AS rule_ids, rate IS NULL AS is_blank FROM x WHERE country = 'F'
+UNION ALL SELECT record_id, concat('lines.', i, '.flag'), true, 's3', flag IS NULL FROM x WHERE country = 'F' AND i = 0 AND j = 0
+UNION ALL SELECT record_id, concat('lines.', i, '.taxes.', j, '.rate'), total >= 50000, 's4', rate IS NULL FROM x WHERE country = 'O' AND flag <> 'N'""",
+)
+def nested_scopes(t):
+    """Conditions at two levels of nested arrays; two scopes of F name some of the same instances."""
+    tax = lambda kind, rate: F.struct(F.lit(kind).alias("kind"), rate.alias("rate"))
+    line = F.struct("l_linenumber", F.col("l_returnflag").alias("flag"), "l_tax", "l_discount")
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("record_id")).agg(F.sort_array(F.collect_list(line)).alias("_l"))
+    duty = lambda x: F.when(x["l_discount"] <= 0.05, x["l_discount"].cast("string"))
+    nested = F.transform("_l", lambda x: F.struct(x["flag"].alias("flag"), F.array(tax("vat", x["l_tax"].cast("string")), tax("duty", duty(x))).alias("taxes")))
+    orders = t.orders.select(F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("country"), F.col("o_totalprice").alias("total"))
+    states = X.evaluate_rulesets(orders.join(lines, "record_id").select("record_id", "country", "total", nested.alias("lines")), SCOPED_RULES, ["record_id"])
+    return states.select("record_id", "path", "is_required", F.array_join("rule_ids", ",").alias("rule_ids"), F.col("value").isNull().alias("is_blank"))
+
+
 @query(
     "job_3_apply_ruleset",
     f"""{_STATES} SELECT record_id, path, value, CASE WHEN is_required AND NOT {_p('value')} THEN 'required' ELSE 'pattern' END AS violation

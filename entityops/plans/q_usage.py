@@ -188,24 +188,24 @@ def known_runs(t):
 _CREATED = """r AS (SELECT user_id AS run_id, event_id AS ordinal, ts, CASE event_type WHEN 'signup' THEN 'RUN_CREATED' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'RUN_FINISHED' ELSE 'RUN_STARTED' END
     WHEN 'click' THEN 'TOOL_CALL_START' WHEN 'view' THEN 'STEP_FINISHED' ELSE 'BAD_FRAME' END AS type FROM events),
 c AS (SELECT run_id, min(ordinal) AS st, arg_min(ts, ordinal) AS created FROM r WHERE type = 'RUN_CREATED' GROUP BY 1),
-l AS (SELECT c.run_id, c.created, r.ordinal, r.ts, r.type FROM c LEFT JOIN r ON r.run_id = c.run_id AND r.ordinal >= c.st AND r.ts < c.created + INTERVAL 5 DAY AND r.type NOT IN ('RUN_CREATED', 'BAD_FRAME')),
+l AS (SELECT c.run_id, c.created, r.ordinal, r.ts, r.type FROM c LEFT JOIN r ON r.run_id = c.run_id AND r.ordinal >= c.st AND r.ts < c.created + INTERVAL 25 DAY AND r.type NOT IN ('RUN_CREATED', 'BAD_FRAME')),
 g AS (SELECT run_id, created, arg_max(type, ordinal) FILTER (type IN ('RUN_STARTED', 'RUN_FINISHED')) AS last, count(*) FILTER (type = 'STEP_FINISHED') AS stage_count, count(*) FILTER (type = 'TOOL_CALL_START') AS tool_call_count,
     greatest(created, coalesce(max(ts), created)) AS updated_at FROM l GROUP BY run_id, created)"""
 
 
 @query(
     "str_1_run_state_with_expiry",
-    f"""WITH {_CREATED} SELECT run_id, CASE WHEN (SELECT max(ts) FROM events) >= created + INTERVAL 5 DAY THEN 'expired' WHEN last IS NULL THEN 'pending' WHEN last = 'RUN_FINISHED' THEN 'done' ELSE 'running' END AS status,
-  stage_count, tool_call_count, updated_at, created + INTERVAL 5 DAY AS expires_at FROM g""",
+    f"""WITH {_CREATED} SELECT run_id, CASE WHEN (SELECT max(ts) FROM events) >= created + INTERVAL 25 DAY THEN 'expired' WHEN last IS NULL THEN 'pending' WHEN last = 'RUN_FINISHED' THEN 'done' ELSE 'running' END AS status,
+  stage_count, tool_call_count, updated_at, created + INTERVAL 25 DAY AS expires_at FROM g""",
 )
 def runs_with_expiry(t):
-    """The batch twin of the stream with timers; five days, as the events span a month."""
+    """The batch twin of the stream with timers; 25 days, as the events span a month."""
     kind = F.col("event_type")
     kinds = (
         F.when(kind == "signup", "RUN_CREATED").when((kind == "purchase") & (F.col("event_id") % 2 == 0), "RUN_FINISHED").when(kind == "purchase", "RUN_STARTED")
         .when(kind == "click", "TOOL_CALL_START").when(kind == "view", "STEP_FINISHED").otherwise("BAD_FRAME")
     )
-    return S.expiring_runs(t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ordinal"), "ts", kinds.alias("type")), "5 days")
+    return S.expiring_runs(t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ordinal"), "ts", kinds.alias("type")), "25 days")
 
 
 @query(

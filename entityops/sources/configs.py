@@ -13,8 +13,12 @@ rules array<struct<fieldName string, displayLabel string, fieldGroupLabel string
   isApplicable boolean, isDocumentVerificationRequired boolean, regexPattern string, errorMessage string,
   dependencies array<struct<ruleType string, applicableFields array<string>, errorMessage string,
     conditions array<struct<fieldName string, operator string, values array<string>,
-      action struct<targetFields array<string>, actionType string>>>>>>>
+      action struct<targetFields array<string>, actionType string>>>>>,
+  x struct<ruleId string, version int, status string, scope string, targets array<string>, phases array<string>>>>
 """
+# The phases and the status of a rule whose extension names none.
+DEFAULT_PHASES = ("create", "save", "submit")
+DEFAULT_STATUS = "draft"
 PLAYBOOK_SCHEMA = """
 countryCode string, version int, nameFuzzyThreshold double, addressFuzzyThreshold double,
 multiSourceFields map<string, array<string>>,
@@ -29,10 +33,15 @@ def ruleset_tables(rulesets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     """Rules, conditions and actions of nested rulesets; list positions are kept as numbers."""
     country = F.upper(F.trim("iso2CountryCode")).alias("country")
     rules = rulesets.select(country, F.posexplode("rules").alias("rule_no", "r"))
+    if "x" not in rules.schema["r"].dataType.fieldNames():
+        rules = rules.withColumn("r", F.col("r").withField("x", F.lit(None).cast("struct<ruleId:string,status:string,scope:string,targets:array<string>,phases:array<string>>")))
+    extended = F.col("r.x").isNotNull()
     flat = rules.select(
         "country", "rule_no", F.col("r.fieldName").alias("field_name"), F.col("r.fieldGroupLabel").alias("group_label"),
         F.coalesce("r.isRequired", F.lit(False)).alias("is_required"), F.coalesce("r.isApplicable", F.lit(True)).alias("is_applicable"),
-        F.col("r.regexPattern").alias("regex_pattern"),
+        F.col("r.regexPattern").alias("regex_pattern"), F.col("r.x.ruleId").alias("rule_id"),
+        F.when(extended, F.coalesce("r.x.status", F.lit(DEFAULT_STATUS))).alias("status"), F.coalesce("r.x.scope", F.lit("$")).alias("scope"),
+        F.when(extended, F.coalesce("r.x.phases", F.array(*map(F.lit, DEFAULT_PHASES)))).alias("phases"), F.col("r.x.targets").alias("targets"),
     )
     dependencies = rules.select("country", "rule_no", F.posexplode("r.dependencies").alias("dependency_no", "d"))
     conditions = dependencies.select(
@@ -53,17 +62,8 @@ def read_rulesets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return ruleset_tables(spark.read.schema(RULESET_SCHEMA).json(path, multiLine=True, recursiveFileLookup=True))
 
 
-def load_rules(spark: SparkSession, path: str, country: str, limit: int = 10_000) -> list[Rule]:
-    """The rules of one country as driver objects, ready to compile. Configuration: size is checked."""
-    rows = (
-        spark.read.schema(RULESET_SCHEMA).json(path, multiLine=True, recursiveFileLookup=True)
-        .where(F.upper(F.trim("iso2CountryCode")) == country.strip().upper())
-        .select(F.inline("rules"))
-        .limit(limit + 1)
-        .collect()
-    )
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rules for {country}")
+def rules_by_country(rulesets: DataFrame, limit: int = 10_000) -> dict[str, list[Rule]]:
+    """The rules of every country as driver objects, ready to compile. Configuration: the size of each country's is checked."""
 
     def condition(c) -> Condition:
         action = c.action
@@ -72,16 +72,37 @@ def load_rules(spark: SparkSession, path: str, country: str, limit: int = 10_000
             tuple(action.targetFields or ()) if action else (),
         )
 
-    return [
-        Rule(
-            r.fieldName, None, bool(r.isRequired), True if r.isApplicable is None else r.isApplicable, r.regexPattern,
-            dependencies=tuple(
-                Dependency(d.ruleType, tuple(condition(c) for c in d.conditions or ()), tuple(d.applicableFields or ()))
-                for d in r.dependencies or ()
-            ),
+    def rule(r) -> Rule:
+        dependencies = tuple(
+            Dependency(d.ruleType, tuple(condition(c) for c in d.conditions or ()), tuple(d.applicableFields or ())) for d in r.dependencies or ()
+        )
+        x = r.x
+        return Rule(
+            r.fieldName, x.ruleId if x else None, bool(r.isRequired), True if r.isApplicable is None else r.isApplicable, r.regexPattern,
+            (x.scope if x else None) or "$", "active" if x is None else x.status or DEFAULT_STATUS,
+            DEFAULT_PHASES if x is None or x.phases is None else tuple(x.phases), dependencies,
         )
-        for r in rows
-    ]
+
+    found: dict[str, list[Rule]] = {}
+    rows = rulesets.select(F.upper(F.trim("iso2CountryCode")).alias("country"), F.inline("rules"))
+    large = rows.groupBy("country").count().where(F.col("count") > limit).first()
+    if large is not None:
+        raise ValueError(f"more than {limit} rules for {large.country}")
+    for row in rulesets.select(F.upper(F.trim("iso2CountryCode")).alias("country"), "rules").collect():
+        found.setdefault(row.country, []).extend(rule(r) for r in row.rules or ())
+    return found
+
+
+def load_rulesets(spark: SparkSession, path: str, limit: int = 10_000) -> dict[str, list[Rule]]:
+    """The rules of all countries, from JSON files with one rule set each."""
+    return rules_by_country(spark.read.schema(RULESET_SCHEMA).json(path, multiLine=True, recursiveFileLookup=True), limit)
+
+
+def load_rules(spark: SparkSession, path: str, country: str, limit: int = 10_000) -> list[Rule]:
+    """The rules of one country."""
+    rows = spark.read.schema(RULESET_SCHEMA).json(path, multiLine=True, recursiveFileLookup=True)
+    code = country.strip().upper()
+    return rules_by_country(rows.where(F.upper(F.trim("iso2CountryCode")) == code), limit).get(code, [])
 
 
 def playbook_tables(playbooks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
