@@ -9,7 +9,7 @@ from entityops.functions.rows import struct_rows
 from entityops.operators import duplicates as D
 from entityops.operators import match as M
 from entityops.operators import trust as U
-from entityops.plans import sql
+from entityops.plans import sql, views
 from entityops.plans.registry import query
 
 
@@ -191,13 +191,14 @@ def overall_mean(t):
 
 
 def similarity(t):
-    """Outside similarity per vector: whole scores from its first two components."""
+    """Outside similarity per vector: whole scores from two cosines over all of its components."""
 
-    def points(i):
-        return F.least(F.lit(100), F.floor(F.abs(F.element_at("embedding", i).cast("double")) * 400 + 0.5)).cast("int")
+    def points(cosine):
+        return F.least(F.lit(100), F.floor(F.abs(cosine) * 400 + 0.5)).cast("int")
 
+    turned, shifted = views.vector_cosines(F.col("embedding"))
     return t.embeddings.select(
-        F.col("vec_id").alias("candidate"), points(1).alias("name_score"), points(2).alias("address_score"),
+        F.col("vec_id").alias("candidate"), points(turned).alias("name_score"), points(shifted).alias("address_score"),
         F.concat(F.lit("label "), F.col("label").cast("string")).alias("note"),
     )
 
@@ -216,8 +217,8 @@ def blend_input(t):
     return lines.select("source_id", "candidate", F.inline(cells))
 
 
-_BLEND = """sim AS (SELECT vec_id, CAST(least(100, floor(abs(embedding[1]::DOUBLE) * 400 + 0.5)) AS INT) AS ns,
-    CAST(least(100, floor(abs(embedding[2]::DOUBLE) * 400 + 0.5)) AS INT) AS ads, concat('label ', label) AS note FROM embeddings),
+_BLEND = f"""{views.COSINES_SQL}, sim AS (SELECT vec_id, CAST(least(100, floor(abs(turned) * 400 + 0.5)) AS INT) AS ns,
+    CAST(least(100, floor(abs(shifted) * 400 + 0.5)) AS INT) AS ads, concat('label ', label) AS note FROM cosines),
 ev AS (SELECT concat(l_orderkey, ':', line_key) AS source_id, l_partkey AS candidate, f.field AS field,
     CASE f.k WHEN 1 THEN CAST(l_quantity AS INT) * 2 WHEN 2 THEN CAST(l_quantity AS INT) ELSE 100 END AS score,
     CASE f.k WHEN 1 THEN CASE WHEN CAST(l_quantity AS INT) % 7 = 0 THEN 'unknown' ELSE 'partial' END WHEN 2 THEN 'mismatch' ELSE 'match' END AS status

@@ -9,7 +9,7 @@ from entityops.functions.ordering import first_row
 from entityops.functions.rows import struct_rows
 from entityops.operators import project as P
 from entityops.operators import resolve as S
-from entityops.plans import sql
+from entityops.plans import sql, views
 from entityops.plans.q_rules import IDENTITIES as _IDENT
 from entityops.plans.q_rules import identity_rows
 from entityops.plans.registry import query
@@ -87,23 +87,22 @@ _LOCALE_KINDS = ["CN_BUSINESS_LICENSE", "AE_TRADE_LICENSE", "US_W9", "GB_COMPANI
 
 
 def locale_envelopes(t):
-    """Documents as locale envelopes; the first words of the text become names and streets."""
+    """Documents as locale envelopes: the whole text is a name, its lines in one a street, its last line a city."""
     key = F.col("doc_id")
-    words = F.split("text", r"[ \n]")
     return t.documents.select(
         key.alias("document_id"), F.element_at(F.array(*[F.lit(k) for k in _LOCALE_KINDS]), (key % len(_LOCALE_KINDS) + 1).cast("int")).alias("doc_type"),
         ((F.lit(70) + key % 30) / 100).alias("confidence"), F.concat(F.lit(" t"), key.cast("string")).alias("tax_number"),
-        F.when(key % 3 == 0, F.try_element_at(words, F.lit(1))).alias("legal_name_native"), F.when(key % 2 == 0, F.lit("Romanised")).alias("legal_name_romanised"),
+        F.when(key % 3 == 0, F.col("text")).alias("legal_name_native"), F.when(key % 2 == 0, F.lit("Romanised")).alias("legal_name_romanised"),
         F.when(key % 5 != 0, F.lit("English")).alias("legal_name"), F.lit(None).cast("string").alias("trading_name_native"),
-        F.lit("Trade").alias("trading_name_romanised"), F.lit(None).cast("string").alias("trading_name"), F.try_element_at(words, F.lit(2)).alias("street_name"),
-        F.when(key % 4 == 0, F.try_element_at(words, F.lit(3))).alias("city_name"), F.lit("9").alias("account_number"), F.lit(" ").alias("bank_name"),
+        F.lit("Trade").alias("trading_name_romanised"), F.lit(None).cast("string").alias("trading_name"), F.replace("text", F.lit("\n"), F.lit(", ")).alias("street_name"),
+        F.when(key % 4 == 0, F.substring_index("text", "\n", -1)).alias("city_name"), F.lit("9").alias("account_number"), F.lit(" ").alias("bank_name"),
     )
 
 
 _LOCALE_ENV = f"""env AS (SELECT doc_id AS id, [{', '.join(sql.quote(k) for k in _LOCALE_KINDS)}][doc_id % {len(_LOCALE_KINDS)} + 1] AS kind, (70 + doc_id % 30)::DOUBLE / 100 AS conf,
-  CASE WHEN doc_id % 3 = 0 THEN nullif(trim(regexp_split_to_array(text, '[ \\n]')[1]), '') END AS nat, CASE WHEN doc_id % 2 = 0 THEN 'Romanised' END AS rom,
-  CASE WHEN doc_id % 5 <> 0 THEN 'English' END AS eng, nullif(trim(regexp_split_to_array(text, '[ \\n]')[2]), '') AS street,
-  CASE WHEN doc_id % 4 = 0 THEN nullif(trim(regexp_split_to_array(text, '[ \\n]')[3]), '') END AS city FROM documents)"""
+  CASE WHEN doc_id % 3 = 0 THEN nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') END AS nat, CASE WHEN doc_id % 2 = 0 THEN 'Romanised' END AS rom,
+  CASE WHEN doc_id % 5 <> 0 THEN 'English' END AS eng, nullif(regexp_replace(replace(text, chr(10), ', '), '^\\s+|\\s+$', '', 'g'), '') AS street,
+  CASE WHEN doc_id % 4 = 0 THEN nullif(regexp_replace(string_split(text, chr(10))[-1], '^\\s+|\\s+$', '', 'g'), '') END AS city FROM documents)"""
 _N = "coalesce(rom, eng)"
 _DUAL = "kind IN ('CN_BUSINESS_LICENSE', 'AE_TRADE_LICENSE')"
 
@@ -311,11 +310,11 @@ def merge_envelopes(t):
 
 @query(
     "prj_13_salvage_blocks",
-    """WITH b AS (SELECT bundle_id, document_id, path, value, confidence AS c FROM v_options WHERE path <> '_unmapped.tax')
+    """WITH b AS (SELECT bundle_id, document_id, path, value, confidence AS c FROM v_options)
 SELECT document_id, path, CASE WHEN path = 'status' AND value = 'O' THEN 'ABCPD1234F' END AS pan,
   CASE WHEN path = 'status' THEN CASE WHEN c < 0.95 THEN 'proof' WHEN value = 'O' THEN 'iec holder' END END AS holder,
   CASE WHEN path = 'status' AND (c < 0.95 OR value = 'O') THEN greatest(CASE WHEN c < 0.95 THEN c END, CASE WHEN value = 'O' THEN 0.93 END, 0)::DOUBLE END AS pan_confidence,
-  CASE WHEN path = 'flag' THEN CASE WHEN value = 'O' THEN 'abc pd1234f' ELSE 'x' END END AS licence, CASE WHEN path = 'band' THEN 'CIN9' END AS registration
+  CASE WHEN path = 'flag' THEN CASE WHEN value = 'O' THEN 'abc pd1234f' ELSE 'x' END END AS licence, CASE WHEN path NOT IN ('status', 'flag') THEN 'CIN9' END AS registration
 FROM b""",
     _USES,
 )
@@ -326,7 +325,7 @@ def salvage_blocks(t):
     def block(**cells):
         return F.struct(*[v.alias(k) for k, v in cells.items()])
 
-    rows = t.v_options().where("path <> '_unmapped.tax'").select(
+    rows = t.v_options().select(
         "document_id", "path",
         F.when(path == "status", "IN_PAN_CARD").when(path == "flag", "IN_MTO_IATA_CHA_CERTIFICATE").otherwise("IN_DEED_OF_PARTNERSHIP").alias("doc_type"),
         F.lit(None).cast("struct<pan:string,holder_name:string,confidence:double>").alias("pan"),
@@ -404,13 +403,14 @@ def doc_tiers(t):
 
 
 def _raw_scores(t):
-    def text(i):
-        x = F.element_at("embedding", i).cast("double") * 400
-        return F.when(F.col("vec_id") % 7 == 0, "NaN").when(F.col("vec_id") % 11 == 0, "n/a").otherwise(F.floor(x).cast("string"))
+    def text(cosine):
+        return F.when(F.col("vec_id") % 7 == 0, "NaN").when(F.col("vec_id") % 11 == 0, "n/a").otherwise(F.floor(cosine * 400).cast("string"))
+
+    turned, shifted = views.vector_cosines(F.col("embedding"))
 
     return t.embeddings.select(
-        F.col("label").alias("grp"), F.concat(F.lit(" "), F.col("vec_id").cast("string"), F.lit(" ")).alias("id"), text(1).alias("name_score"),
-        F.when(F.col("vec_id") % 3 == 0, text(2)).alias("address_score"),
+        F.col("label").alias("grp"), F.concat(F.lit(" "), F.col("vec_id").cast("string"), F.lit(" ")).alias("id"), text(turned).alias("name_score"),
+        F.when(F.col("vec_id") % 3 == 0, text(shifted)).alias("address_score"),
     )
 
 
@@ -420,8 +420,8 @@ def _vector_candidates(t):
 
 @query(
     "prj_19_guard_scores",
-    """WITH r AS (SELECT label AS grp, CAST(vec_id AS VARCHAR) AS id, CASE WHEN vec_id % 7 <> 0 AND vec_id % 11 <> 0 THEN CAST(greatest(0, least(100, floor(embedding[1]::DOUBLE * 400))) AS INT) END AS name_score,
-  CASE WHEN vec_id % 7 <> 0 AND vec_id % 11 <> 0 AND vec_id % 3 = 0 THEN CAST(greatest(0, least(100, floor(embedding[2]::DOUBLE * 400))) AS INT) END AS address_score, vec_id FROM embeddings)
+    f"""WITH {views.COSINES_SQL}, r AS (SELECT label AS grp, CAST(vec_id AS VARCHAR) AS id, CASE WHEN vec_id % 7 <> 0 AND vec_id % 11 <> 0 THEN CAST(greatest(0, least(100, floor(turned * 400))) AS INT) END AS name_score,
+  CASE WHEN vec_id % 7 <> 0 AND vec_id % 11 <> 0 AND vec_id % 3 = 0 THEN CAST(greatest(0, least(100, floor(shifted * 400))) AS INT) END AS address_score, vec_id FROM cosines)
 SELECT grp, id, name_score, address_score FROM r WHERE vec_id % 4 <> 1 AND name_score IS NOT NULL""",
 )
 def guard_scores(t):
@@ -483,7 +483,7 @@ def guard_suggestions(t):
 
 def patch_groups(t):
     """Two ordered groups of patches per order line."""
-    rows = t.v_options().where("path <> '_unmapped.tax'").select(
+    rows = t.v_options().select(
         F.col("bundle_id").alias("record_id"), "path", "label", F.nullif("value", F.lit("0")).alias("value"), "confidence", F.col("doc_type").alias("source_label"),
         "needs_resolution", "ordinal",
     )
@@ -491,7 +491,7 @@ def patch_groups(t):
     return rows.unionByName(again)
 
 
-_GROUPS = """groups AS (SELECT bundle_id AS record_id, path, label, nullif(value, '0') AS value, confidence, doc_type AS source_label, needs_resolution, ordinal FROM v_options WHERE path <> '_unmapped.tax'
+_GROUPS = """groups AS (SELECT bundle_id AS record_id, path, label, nullif(value, '0') AS value, confidence, doc_type AS source_label, needs_resolution, ordinal FROM v_options
   UNION ALL SELECT bundle_id, path, label, lower(nullif(value, '0')), confidence, doc_type, needs_resolution, concat('~', ordinal) FROM v_options WHERE path = 'flag'),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id, source_label, path ORDER BY ordinal) AS rn FROM groups) WHERE rn = 1)"""
 

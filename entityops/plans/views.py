@@ -24,6 +24,23 @@ def _line_key():
     )
 
 
+def vector_cosines(vector):
+    """Cosines of a vector with itself turned round and with itself moved on by one place, from components in thousandths."""
+    q = F.transform(vector, lambda x: F.floor(x.cast("double") * 1000 + 0.5).cast("long"))
+
+    def dot(other):
+        return F.aggregate(F.zip_with(q, other, lambda a, b: a * b), F.lit(0).cast("long"), lambda total, x: total + x).cast("double")
+
+    moved = F.concat(F.slice(q, F.lit(2), F.size(q)), F.slice(q, 1, 1))
+    return F.try_divide(dot(F.reverse(q)), dot(q)), F.try_divide(dot(moved), dot(q))
+
+
+COSINES_SQL = """whole AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 1000 + 0.5) AS BIGINT)) AS q FROM embeddings),
+dots AS (SELECT vec_id, label, list_sum(list_transform(list_zip(q, list_reverse(q)), lambda z: z[1] * z[2]))::DOUBLE AS t,
+    list_sum(list_transform(list_zip(q, list_concat(q[2:], q[1:1])), lambda z: z[1] * z[2]))::DOUBLE AS s, list_sum(list_transform(q, lambda x: x * x))::DOUBLE AS n FROM whole),
+cosines AS (SELECT vec_id, label, CASE WHEN n > 0 THEN t / n END AS turned, CASE WHEN n > 0 THEN s / n END AS shifted FROM dots)"""
+
+
 class Tables:
     """Base tables by attribute, derived views by method."""
 
