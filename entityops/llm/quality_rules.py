@@ -22,8 +22,8 @@ _WHITE_CLASS = "[\\x20\\x09-\\x0D]+"
 class Limits:
     """Limits of the rules.
 
-    A line is frequent if more than ``line_documents`` documents of its host and more than
-    ``line_percent`` per cent of them hold it. The document with the smallest id keeps it, so that no line
+    A line is frequent if more than ``line_documents`` documents of its host hold it, whatever the size of the host
+    (and, where it is asked for, more than ``line_percent`` per cent of them). The document with the smallest id keeps it, so that no line
     leaves the host for good. A document is depleted if fewer than ``min_words`` words or less than
     ``min_left_percent`` per cent of them remain after a removal.
     """
@@ -32,7 +32,7 @@ class Limits:
     repeat_percent: int = 20
     window: int = 5
     line_documents: int = 10
-    line_percent: int = 8
+    line_percent: int = 0
     min_left_percent: int = 20
 
 
@@ -123,6 +123,8 @@ def frequent_lines(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "do
     """
     held = _lines(docs, doc_id, text, host).groupBy("_h", "_host", "_id").agg(F.lit(1).alias("one"))
     counts = held.groupBy("_h", "_host").agg(F.count("*").alias("n"), F.min("_id").alias("_owner")).where(F.col("n") > limits.line_documents)
+    if not limits.line_percent:
+        return counts.select("_h", "_owner")
     ids = docs.select(F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))).alias("_host"), F.col(doc_id).alias("_id"))
     hosts = ids.groupBy("_host", "_id").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("total"))
     return counts.join(hosts, "_host").where(F.col("n") * 100 > F.col("total") * limits.line_percent).select("_h", "_owner")

@@ -40,9 +40,7 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(
 ln AS (SELECT doc_id, host, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line,
               len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS nw
        FROM (SELECT doc_id, host, unnest(lines) AS line FROM w)),
-hosts AS (SELECT host, count(DISTINCT doc_id) AS total FROM d GROUP BY 1),
-freq AS (SELECT host, line, min(doc_id) AS owner FROM ln JOIN hosts USING (host) GROUP BY host, line, total
-         HAVING count(DISTINCT doc_id) > 10 AND 100 * count(DISTINCT doc_id) > 8 * total),
+freq AS (SELECT host, line, min(doc_id) AS owner FROM ln GROUP BY host, line HAVING count(DISTINCT doc_id) > 10),
 gone AS (SELECT doc_id, sum(nw) AS gone FROM ln JOIN freq USING (host, line) WHERE doc_id <> owner GROUP BY 1),
 s AS (SELECT w.doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
              length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
@@ -68,20 +66,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-OP9_SQL = r"""
+def jaccard_sql(width: int, percent: int) -> str:
+    """Components of documents by shingles of ``width`` words."""
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                              '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
-s AS (SELECT DISTINCT doc_id, list_slice(words, i, greatest(i + 3, least(len(words), 4))) AS shingle
-      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)),
+s AS (SELECT DISTINCT doc_id, list_slice(words, i, greatest(i + {width - 1}, least(len(words), {width}))) AS shingle
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {width - 2}, 2))) AS i FROM w WHERE len(words) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 links AS (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
-          JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+          JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
 reach AS (SELECT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.low, w.doc_id) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY 1) m ON m.doc_id = w.doc_id"""
 
 
-@query("op9_jaccard_join", OP9_SQL)
+@query("op9_jaccard_join", jaccard_sql(4, 85))
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles are alike."""
     return jaccard_join.join_components(_read(spark, sf_dir, "documents"))

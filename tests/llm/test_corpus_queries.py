@@ -12,7 +12,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from entityops.llm import privacy
-from entityops.llm.queries import ORACLES, QUERIES
+from entityops.llm.queries import ORACLES, QUERIES, jaccard_sql
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="test tables are not on this machine")
@@ -104,7 +104,7 @@ def test_pipeline_against_plain_python(spark, tables):
     left = duckdb.connect()
     left.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     left.executemany("INSERT INTO documents VALUES (?, ?)", list(texts.items()))
-    single = [d for d, _, c in sorted((r[0], r[1], r[2]) for r in left.execute(ORACLES["op9_jaccard_join"]).fetchall()) if d == c]
+    single = [d for d, _, c in sorted((r[0], r[1], r[2]) for r in left.execute(jaccard_sql(5, 80)).fetchall()) if d == c]
     texts = {d: texts[d] for d in single}
     items = [t for (t,) in tables.execute("SELECT text FROM benchmark").fetchall()]
     gone = leaking(texts, items)
