@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from entityops.llm import byte_bpe, decontaminate, jaccard_join, privacy, quality_rules
 from entityops.llm.queries import DEMO_KEY, byte_vocabulary
-from entityops.llm.storage import shared_folder, table
+from entityops.llm.storage import remove, shared_folder, table
 
 
 def _with_text(docs: DataFrame, names: list[str], text) -> DataFrame:
@@ -20,19 +20,15 @@ def _with_text(docs: DataFrame, names: list[str], text) -> DataFrame:
     return docs.select(*[new[c].alias(c) if c in new else F.col(c) for c in names])
 
 
-#: A number of documents alone makes a line frequent, so that a large host loses its repeated lines like a small one.
-LINE_LIMITS = quality_rules.Limits(line_percent=0)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that too many documents of their source repeat."""
-    judged = quality_rules.apply_rules(docs, LINE_LIMITS).where("kept")
+    judged = quality_rules.apply_rules(docs).where("kept")
     return _with_text(judged, docs.columns, F.col("clean_text"))
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return jaccard_join.one_of_each(docs)
+    """One document of each group of near copies: 80 per cent of the shingles of five words alike."""
+    return jaccard_join.one_of_each(docs, jaccard_join.Join(width=5, percent=80))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,4 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         docs = table(stage(spark, docs, sf_dir), f"stage-{number}", folder)
+        if number:
+            remove(spark, f"{folder}/stage-{number - 1}")  # read for the last time
     return docs
