@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from entityops.llm import words as W
 from entityops.llm.graph import components
-from entityops.llm.storage import shared_folder, table
+from entityops.llm.storage import remove, shared_folder, table
 
 
 @dataclass(frozen=True)
@@ -312,7 +312,7 @@ def _links(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str, join: J
     listed = lists.select("sig").distinct()
     entities = profiles.join(listed, "sig", "left_semi").groupBy("sig").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     entities = table(entities, "entities", folder)
-    edges, found, number = None, None, 0
+    edges, found, place, number = None, None, None, 0
     while True:
         if found is None:
             lists = lists.withColumn("root", F.col("sig"))
@@ -324,6 +324,9 @@ def _links(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str, join: J
         quota = _quota(F.col("members"), F.col("alone"), number, join)
         state = state.where("low < high").select("key", quota.alias("quota"))
         lists = table(lists.join(state, "key"), f"lists-{number}", folder)
+        # what the round before wrote has had its last reader
+        for old in (["lists"] if number == 0 else [f"{name}-{number - 1}" for name in ("lists", "pivots", "near", "pairs")]):
+            remove(docs.sparkSession, f"{folder}/{old}")
         if lists.isEmpty():
             return found
         brief = ["sig", "n", "top", "root"]
@@ -343,7 +346,11 @@ def _links(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str, join: J
         if not pairs.isEmpty():
             new = table(_verified(docs, pairs, entities, doc_id, text, join), f"edges-{number}", folder)
             edges = new if edges is None else edges.union(new)
+            before, place = place, f"{folder}/found-{number}"
             found = table(components(edges, f"{folder}/round-{number}"), f"found-{number}", folder)
+            for old in (f"{folder}/round-{number}", before):
+                if old:
+                    remove(docs.sparkSession, old)
         lists = lists.join(pivots.select("key", F.col("p.sig").alias("sig")), ["key", "sig"], "left_anti").select("key", "sig", "n", "top")
         number += 1
 
