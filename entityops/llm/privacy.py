@@ -6,14 +6,18 @@ persons behind a form of address. An entity is its type and normal form (e-mail
 numbers without separators), so that every mention of it in the corpus gets the same surrogate (coreference).
 
 * Digits become digits, letters become letters of the same script and case, separators stay; the part of a
-  phone number that names the country stays, and a card number keeps its first digit and gets a valid check
-  digit. A person gets a name of the gender that the form of address tells, in Latin, Greek or Cyrillic script
+  phone number that names the country stays, a card number keeps its first digit and gets a valid check
+  digit, an IBAN keeps its country and gets valid check digits, and each mail host becomes a host of its own. A person gets a name of the gender that the form of address tells, in Latin, Greek or Cyrillic script
   as written; parts of a name are entities of their own, so "Mr Jan Kolb" and "Mr Kolb" still share a name.
 * Each candidate comes from a hash of a secret key, the entity and a round. Candidates that two entities
   share, or that occur as an entity of the corpus, are drawn again in the next round; the smallest entity of
   a clash keeps its draw. Rounds end when no clash is left, so different entities stay different.
+* Where a format has too few free values (the corpus may hold all numbers of a short format), entities that are still
+  without one after ``ROUNDS`` rounds take each other's values, in a keyed cycle in which none keeps its own. Only there is
+  a surrogate an entity of the corpus.
 
-Null texts stay null, texts without an entity stay as they are. Repeated rows get equal results.
+Null texts stay null, texts without an entity stay as they are. Repeated rows get equal results. A column ``entities``
+of the input is replaced; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from entityops.functions.ordering import number_rows
 from entityops.llm.storage import shared_folder, table
 
 # Fixed patterns, tried in this order at each place of a text.
@@ -47,6 +52,17 @@ NAMES = {
     "greek_f": "Άννα Βάσω Γεωργία Δήμητρα Ελένη Ζωή Κατερίνα Λυδία Μαρία Νίκη",
     "greek_x": "Αλεξίου Βλάχου Γεωργίου Δήμου Ευθυμίου Ζαχαρίου Ιωάννου Κωστή Λάμπρου Μιχαήλ",
 }
+# Fixed syllables and endings of names that are put together where the names above are all given.
+SYLLABLES = {
+    "latin": "ba be bi bo da de di do fa fe ga ge ha ja ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se ta te va ve",
+    "cyrillic": "ба бе ва ве га да де за зе ка ке ла ле ма ме на не па ра ре са се та те фа ха",
+    "greek": "βα βε γα γε δα δε ζα κα κε λα λε μα με να νε πα πε ρα ρε σα σε τα τε φα φε χα",
+}
+ENDINGS = {
+    "latin_m": "n r s l d", "latin_f": "ia na lla sa tta", "latin_x": "sen mann ner ler witz",
+    "cyrillic_m": "н р с л д", "cyrillic_f": "на я рья ла са", "cyrillic_x": "енко ский чук няк",
+    "greek_m": "ς νος ρος λης σης", "greek_f": "να ρα λη ση νη", "greek_x": "κου δου τζη λου",
+}
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία")
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Every mention has an "at" sign, a digit or one of these words; most texts have none of them.
@@ -138,6 +154,34 @@ def _check_digit(digits: Column) -> Column:
     return F.concat(F.substr(digits, F.lit(1), size - 1), ((10 - total % 10) % 10).cast("string"))
 
 
+def _iban(value: Column) -> Column:
+    """``value`` with the check digits that make its remainder by 97 one."""
+    country, body = F.substr(value, F.lit(1), F.lit(2)), F.substr(value, F.lit(5))
+    places = F.filter(F.split(F.concat(body, country, F.lit("00")), ""), lambda c: c != "")
+    rest = F.aggregate(places, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
+
+
+def _fixed(kind: Column, value: Column) -> Column:
+    """How many first characters of a value its surrogate keeps."""
+    secret = F.length(F.regexp_extract(value, r"(?i)^((?:AKIA|gh[pousr]_|(?:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*))", 1))
+    phone = F.length(F.regexp_extract(value, r"^(\+1|\+\d\d)", 1))
+    return F.when(kind == "card", 1).when(kind == "iban", 2).when(kind == "phone", phone).when(kind == "secret", secret).otherwise(0)
+
+
+def _composed(kind: Column, stream: Column, turn: Column) -> Column:
+    """A name of the kind's script and gender put together from syllables, one more every second round."""
+    name = F.substr(kind, F.lit(len("name_") + 1))
+
+    def pick(table: dict[str, str], row: Column, place: Column) -> Column:
+        pool = F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.split(F.lit(v), " "))]), row)
+        return F.element_at(pool, (F.conv(F.substr(stream, place * 4 + 1, F.lit(4)), 16, 10).cast("int") % F.size(pool)) + 1)
+
+    count = F.least(F.floor(turn / 2) + 2, F.lit(28)).cast("int")
+    stem = F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: pick(SYLLABLES, F.substring_index(name, "_", 1), i)), "")
+    return F.initcap(F.concat(stem, pick(ENDINGS, name, F.lit(0))))
+
+
 def _candidate(key: str, turn: Column) -> Column:
     """The surrogate of (kind, value) in round ``turn``, in normal form."""
     kind, value = F.col("kind"), F.col("value")
@@ -147,31 +191,61 @@ def _candidate(key: str, turn: Column) -> Column:
     def octet(k: int) -> Column:
         return _draw(stream, F.lit(k), 254).cast("string")
 
-    prefix = F.length(F.regexp_extract(value, r"^(\+1|\+\d\d)", 1))
-    kept = F.length(F.regexp_extract(value, r"(?i)^((?:AKIA|gh[pousr]_|(?:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*))", 1))
+    fixed = _fixed(kind, value)
     names = F.create_map(*[x for k, v in NAMES.items() for x in (F.lit("name_" + k), F.split(F.lit(v), " "))])
     pool = F.element_at(names, kind)
     picked = F.element_at(pool, (F.conv(F.substr(stream, F.lit(1), F.lit(6)), 16, 10).cast("int") % F.size(pool)) + 1)
-    # A pool holds few names: from the second round on a suffix of letters, as long as the round needs, tells entities apart.
-    tail = F.when(turn == 0, "").otherwise(_redrawn(F.repeat(F.lit("a"), F.least(turn, F.lit(8)) + 1), stream, F.lit(0)))
     return (
-        F.when(kind == "email", F.concat(_redrawn(local, stream, F.lit(0)), F.lit("@"), F.regexp_replace(host, r"^.*?((?:example\.)?[^.]+)$", "surrogate.$1")))
+        F.when(kind == "email", F.concat(_redrawn(local, stream, F.lit(0)), F.lit("@surrogate-"), F.substr(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("host"), host), 256), F.lit(1), F.lit(16)), F.lit("."), F.regexp_extract(host, r"((?:example\.)?[^.]+)$", 1)))
         .when(kind == "ip", F.concat_ws(".", F.when(turn < 4, "10").otherwise(octet(3)), octet(0), octet(1), octet(2)))
-        .when(kind == "card", _check_digit(_redrawn(value, stream, F.lit(1))))
-        .when(kind == "phone", _redrawn(value, stream, prefix))
-        .when(kind == "iban", _redrawn(value, stream, F.lit(2)))
-        .when(kind.startswith("name_"), F.concat(picked, tail))
+        .when(kind == "card", _check_digit(_redrawn(value, stream, fixed)))
+        .when(kind == "phone", _redrawn(value, stream, fixed))
+        .when(kind == "iban", _iban(_redrawn(value, stream, fixed)))
+        .when(kind.startswith("name_"), F.when(turn == 0, picked).otherwise(_composed(kind, stream, turn)))
         .when(value.rlike("^[0-9a-f]{40}$"), F.substr(stream, F.lit(1), F.lit(40)))
-        .otherwise(_redrawn(value, stream, kept))
+        # a secret of few letters and digits becomes one of letters after some rounds
+        .when((kind == "secret") & (turn > 2), F.concat(F.substr(value, F.lit(1), fixed), _redrawn(F.repeat(F.lit("a"), F.length(value) - fixed), stream, F.lit(0))))
+        .otherwise(_redrawn(value, stream, fixed))
     )
 
 
-#: Formats with room for twice the entities need a handful of rounds.
-MOST_ROUNDS = 64
+#: Formats with room for twice the entities need a handful of rounds; a lone entity of a crowded format may need more.
+ROUNDS, MOST_ROUNDS = 8, 64
+
+
+def _format(kind: Column, value: Column) -> Column:
+    """What a value has in common with those that may stand in its place."""
+    classes = value
+    for one, letters in (("a", "[a-z]"), ("A", "[A-Z]"), ("0", "[0-9]")):
+        classes = F.regexp_replace(classes, letters, one)
+    free = F.when(kind.startswith("name_") | (kind == "ip"), "").otherwise(classes)
+    return F.concat_ws("\x1f", kind, F.substr(value, F.lit(1), _fixed(kind, value)), free)
+
+
+def _exchanged(open_: DataFrame, done: DataFrame, key: str, folder: str) -> DataFrame:
+    """``done`` and surrogates for the entities of ``open_``, whose formats are crowded.
+
+    Those of one format are numbered in keyed order, and each takes the value of the next. One that is alone takes the
+    surrogate of an entity of its format that has one, which gets its value instead.
+    """
+    shape = _format(F.col("kind"), F.col("value"))
+    marked = open_.withColumn("shape", shape).withColumn("_h", F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "value"), 256))
+    numbered = table(number_rows(marked, ["shape"], [F.col("_h"), F.col("value")], [F.substring("_h", 1, 3)], "number"), "crowded", folder)
+    counts = numbered.groupBy("shape").agg(F.count("*").alias("n"))
+    members = numbered.join(counts, "shape")
+    next_ = numbered.select("shape", F.col("number").alias("_next"), F.col("value").alias("surrogate"))
+    cycle = members.where("n > 1").withColumn("_next", F.col("number") % F.col("n") + 1).join(next_, ["shape", "_next"]).select("kind", "value", "surrogate")
+    lone = members.where("n = 1").select("shape", F.col("value").alias("_alone"))
+    given = done.withColumn("shape", shape).join(lone, "shape").groupBy("kind", "shape", "_alone").agg(F.min(F.struct("value", "surrogate")).alias("d"))
+    given = table(given, "given", folder)
+    swapped = given.select("kind", F.inline(F.array(F.struct(F.col("_alone").alias("value"), "d.surrogate"), F.struct("d.value", F.col("_alone").alias("surrogate")))))
+    kept = done.join(given.select("kind", "d.value"), ["kind", "value"], "left_anti")
+    return table(kept.unionByName(swapped).unionByName(cycle), "settled", folder)
 
 
 def surrogates(docs: DataFrame, key: str, text: str = "text", folder: str | None = None) -> DataFrame:
-    """(kind, value, surrogate) of every entity of the corpus; no surrogate occurs twice or is an entity itself."""
+    """(kind, value, surrogate) of every entity of the corpus; no surrogate occurs twice, is its own entity or, where its
+    format has free values, another one."""
     folder = folder or shared_folder(docs.sparkSession)
     found = docs.where(F.col(text).rlike(HINT)).select(F.explode(mentions(docs, text)).alias("mention")).distinct().withColumn("kind", _kind(F.col("mention")))
     entities = table(_parts(found.withColumn("value", _normal(F.col("kind"), F.col("mention")))), "entities", folder)
@@ -190,6 +264,11 @@ def surrogates(docs: DataFrame, key: str, text: str = "text", folder: str | None
         if open_.isEmpty():
             return done
         taken, turn = taken.union(won.select("surrogate")), turn + 1
+        if turn == ROUNDS:
+            done = _exchanged(open_, done, key, folder)
+            open_ = table(open_.join(done, ["kind", "value"], "left_anti"), "lone", folder)
+            if open_.isEmpty():
+                return done
 
 
 def _formatted(mention: Column, surrogate: Column) -> Column:
@@ -215,9 +294,12 @@ def replace_entities(docs: DataFrame, key: str, doc_id: str = "doc_id", text: st
     names = surrogates(docs, key, text, folder)
     value = F.coalesce(F.col(text), F.lit(""))
     row = F.sha2(F.concat_ws("\x1f", F.col(doc_id).cast("string"), value), 256)
-    some = docs.where(_some(value)).withColumn("_row", row)
+    mark = "_row"
+    while mark in docs.columns:
+        mark += "_"
+    some = docs.where(_some(value)).withColumn(mark, row)
     each = (
-        some.select("_row", F.posexplode(mentions(some, text)).alias("at", "mention"))
+        some.select(F.col(mark).alias("_row"), F.posexplode(mentions(some, text)).alias("at", "mention"))
         .distinct()
         .withColumn("kind", _kind(F.col("mention")))
         .withColumn("value", _normal(F.col("kind"), F.col("mention")))
@@ -228,13 +310,13 @@ def replace_entities(docs: DataFrame, key: str, doc_id: str = "doc_id", text: st
     filled = joined.groupBy("_row", "at", "mention", "whole").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "surrogate"))), lambda x: x["surrogate"]).alias("s"))
     person = F.concat(F.regexp_extract("mention", TITLE, 1), F.lit(" "), F.array_join("s", " "))
     shown = F.when(F.col("whole") == "person", person).when(F.col("whole").isin("card", "phone", "iban", "national"), _formatted(F.col("mention"), F.col("s")[0])).otherwise(F.col("s")[0])
-    lists = filled.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", F.col("whole").alias("kind"), shown.alias("replacement")))).alias("entities"))
+    lists = filled.groupBy(F.col("_row").alias(mark)).agg(F.array_sort(F.collect_list(F.struct("at", F.col("whole").alias("kind"), shown.alias("replacement")))).alias("entities"))
     gaps = F.split(F.col(text), ANY, -1)
     new = F.concat(
         F.array_join(F.zip_with(F.slice(gaps, 1, F.size("entities")), "entities", lambda g, e: F.concat(g, e["replacement"])), ""), F.element_at(gaps, -1)
     )
     columns = [c for c in docs.columns if c != "entities"]
-    changed = some.drop("entities").join(lists, "_row").select(*[new.alias(c) if c == text else F.col(c) for c in columns], "entities")
+    changed = some.drop("entities").join(lists, mark).select(*[new.alias(c) if c == text else F.col(c) for c in columns], "entities")
     kind = "array<struct<at:int,kind:string,replacement:string>>"
     same = docs.where(~_some(value)).select(*columns, F.array().cast(kind).alias("entities"))
     return same.unionByName(changed)

@@ -215,7 +215,7 @@ def test_surrogates_match_type_format_and_mentions(spark):
     shown = [new[k][1] for k in range(10)]
     assert re.fullmatch(r"Mr\. \w+ (\w+)", shown[0]).group(1) == re.fullmatch(r"Mrs (\w+)", shown[1]).group(1)
     assert shown[0].split()[1] in privacy.NAMES["latin_m"].split() and shown[7].split()[1] in privacy.NAMES["cyrillic_x"].split()
-    assert shown[2] == shown[3] and re.fullmatch(r"[a-z]{3}\.[a-z]{4}@surrogate\.(example\.)?org", shown[2])
+    assert shown[2] == shown[3] and re.fullmatch(r"[a-z]{3}\.[a-z]{4}@surrogate-[0-9a-f]{16}\.(example\.)?org", shown[2])
     digits = [int(c) for c in shown[4] if c.isdigit()]
     assert re.fullmatch(r"4\d{3}( \d{4}){3}", shown[4]) and sum(sum(divmod(2 * d, 10)) if i % 2 == 0 else d for i, d in enumerate(digits)) % 10 == 0
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", shown[5])
@@ -235,6 +235,42 @@ def test_surrogates_stay_distinct_where_a_pool_is_small(spark):
     assert not {p.surrogate for p in pairs} & {p.value for p in pairs}
 
 
+def test_crowded_formats_exchange_their_values(spark):
+    rows = [(n, f"call +44 {n // 100:02d} {n % 100:02d} now") for n in range(10_000)]  # every number of the format
+    rows += [(20_000 + i, f"mail {c}@one.example.org or {c}@two.example.org") for i, c in enumerate(string.ascii_lowercase)]
+    rows += [(30_000, "password=######"), (30_001, "password=######!")]
+    pairs = privacy.surrogates(docs(spark, rows), "key").collect()
+    assert len(pairs) == len({(p.kind, p.value) for p in pairs}) == len({p.surrogate for p in pairs}) == 10_000 + 52 + 2
+    for p in pairs:
+        assert p.surrogate != p.value
+        if p.kind == "phone":
+            assert re.fullmatch(r"\+44\d{4}", p.surrogate)
+    hosts = {(p.value.split("@")[1], p.surrogate.split("@")[1]) for p in pairs if p.kind == "email" and "surrogate" in p.surrogate}
+    assert len(hosts) == 2 == len({h for _, h in hosts})
+
+
+def test_one_left_over_swaps_with_another(spark):
+    entities = spark.createDataFrame([("phone", "+441111")], "kind string, value string")
+    done = spark.createDataFrame([("phone", "+442222", "+443333"), ("phone", "+452222", "+453333")], "kind string, value string, surrogate string")
+    got = {r.value: r.surrogate for r in privacy._exchanged(entities, done, "key", privacy.shared_folder(spark)).collect()}
+    assert got == {"+441111": "+443333", "+442222": "+441111", "+452222": "+453333"}
+
+
+def test_surrogates_of_ibans_and_names(spark):
+    rows = [(1, "to DE89 3704 0044 0532 0130 00 and GB29NWBK60161331926819", "h", "en", 1, "mine", 0.5)]
+    row = privacy.replace_entities(docs(spark, rows), "key").first()
+    assert row["_row"] == "mine" and [e.kind for e in row.entities] == ["iban", "iban"]
+    for e, country in zip(row.entities, ("DE", "GB")):
+        plain = e.replacement.replace(" ", "")
+        moved = plain[4:] + plain[:4]
+        assert plain.startswith(country) and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+    assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", row.entities[0].replacement)
+    names = [(i, f"Mrs {a}{b} {a.capitalize()}{b}") for i, (a, b) in enumerate(itertools.product(("Bel", "Dor", "Gan", "Hul", "Kim", "Lor", "Mir"), ("ka", "do", "ri", "su", "te")))]
+    for p in privacy.surrogates(docs(spark, names), "key").collect():
+        first, given = privacy.NAMES[p.kind.removeprefix("name_")].split(), privacy.ENDINGS[p.kind.removeprefix("name_")].split()
+        assert p.surrogate in first or (p.surrogate.istitle() and p.surrogate.endswith(tuple(given)))
+
+
 def test_native_operators_have_no_python_in_their_plans(spark):
     table = docs(spark, [(1, TEXT, "h")])
     for df in (quality_rules.apply_rules(table), privacy.replace_entities(table, "k").drop("entities").withColumn("x", F.lit(1))):
