@@ -40,7 +40,10 @@ from entityops.llm.storage import remove, shared_folder, table
 
 @dataclass(frozen=True)
 class Join:
-    """``frequent`` bounds the table of frequent shingles (an ordering aid, no result depends on it)."""
+    """``frequent`` bounds the table of frequent shingles (an ordering aid, no result depends on it).
+
+    Lists whose rarest shingle is known to be in ``hot`` documents are joined in a way that splits them over tasks.
+    """
 
     width: int = 4
     percent: int = 85
@@ -52,6 +55,7 @@ class Join:
     short: int = 4
     broadcast_rows: int = 1 << 17
     scattered_percent: int = 80
+    hot: int = 1 << 14
 
 
 #: Bits of a set's parity bitmap.
@@ -138,20 +142,23 @@ def boundary(sizes: dict[int, int], frequent: np.ndarray, join: Join) -> int:
     return min([0, *(n for n in sizes if n <= 400)], key=lambda b: (cost(b), b))
 
 
-def _postings(s: np.ndarray, limit: int, frequent: np.ndarray, count: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, largest sizes): the postings of a set, and for each the size of the largest set that can link here.
+def _postings(s: np.ndarray, limit: int, frequent: np.ndarray, count: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, largest sizes, hot): the postings of a set, for each the size of the largest set that can link here, and
+    whether its list is known to be long.
 
     If a posting is the first that two sets share, they share nothing before its place, which bounds their
     intersection; a pair that is too large for this bound links nowhere or in another list.
     """
     n = len(s)
     if n <= join.subset and _needed(n + 1, join.percent) > n:
-        return s[:0], np.zeros(0, np.int64)  # such a small set links with its equals only
+        return s[:0], np.zeros(0, np.int64), np.zeros(0, bool)  # such a small set links with its equals only
     place = np.searchsorted(frequent, s)
     place[place == len(frequent)] = 0
     known = frequent[place] == s if len(frequent) else np.zeros(n, dtype=bool)
+    documents = np.where(known, count[place], 0) if len(frequent) else np.zeros(n, np.int64)
     if known.any():
-        s = s[np.argsort(np.where(known, count[place], 0), kind="stable")]
+        order = np.argsort(documents, kind="stable")
+        s, documents = s[order], documents[order]
     spare = n - _needed(n, join.percent)
     out, places = [], []
     if n <= limit:
@@ -165,8 +172,8 @@ def _postings(s: np.ndarray, limit: int, frequent: np.ndarray, count: np.ndarray
     if 100 * n > join.percent * limit:
         out.append(W.mix(s[: spare + 1]))
         places.append(np.arange(spare + 1))
-    both = 100 + join.percent
-    return np.concatenate(out), (both * (n - np.concatenate(places)) - join.percent * n) // join.percent
+    both, place = 100 + join.percent, np.concatenate(places)
+    return np.concatenate(out), (both * (n - place) - join.percent * n) // join.percent, documents[place] >= join.hot
 
 
 def _parity(s: np.ndarray) -> bytes | None:
@@ -180,28 +187,34 @@ def _identity(s: np.ndarray) -> int | None:
 
 
 def _profiles(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
-    """(doc, n, sig, bits, keys, tops): size, identity, parity bitmap and postings of every set; sig is null for an empty one."""
+    """(doc, n, sig, bits, keys, tops, hots): size, identity, parity bitmap and postings of every set; sig is null for an empty one.
+
+    Of equal sets in one slice of a task only the first carries postings.
+    """
     sizes, frequent, count = _statistics(docs, text, join)
     limit = boundary(sizes, count, join)
     order = docs.sparkSession.sparkContext.broadcast((frequent, count))
 
     def run(batches):
         for batch in W.slices(batches, 1):
-            n, sig, keys, tops, bits = [], [], [], [], []
+            n, sig, keys, tops, hots, bits = [], [], [], [], [], []
+            posted: set[int | None] = {None}
             for _, s in _sets(batch, 1, join.width):
                 n.append(len(s))
                 sig.append(_identity(s))
                 bits.append(_parity(s))
-                key, top = _postings(s, limit, *order.value, join) if len(s) else (s, s)
+                key, top, hot = (s[:0], s[:0], s[:0]) if sig[-1] in posted else _postings(s, limit, *order.value, join)
+                posted.add(sig[-1])
                 keys.append(key.view(np.int64))
                 tops.append(top.astype(np.int32))
+                hots.append(hot.astype(bool))
             bounds = np.concatenate(([0], np.cumsum([len(k) for k in keys], dtype=np.int64))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, t), *x]))) for x, t in ((keys, np.int64), (tops, np.int32))]
+            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, t), *x]))) for x, t in ((keys, np.int64), (tops, np.int32), (hots, bool))]
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary()), *lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sig", "bits", "keys", "tops"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sig", "bits", "keys", "tops", "hots"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc {kind}, n long, sig long, bits binary, keys array<long>, tops array<int>")
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc {kind}, n long, sig long, bits binary, keys array<long>, tops array<int>, hots array<boolean>")
 
 
 def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
@@ -300,15 +313,27 @@ def _wide(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _lists(profiles: DataFrame, join: Join) -> DataFrame:
+    """(key, sig, n, top): lists of two entities or more, without members for which the list has no set of a fitting size.
+
+    One exchange by key serves the bounds of a list and its members. Lists known to be long get their bounds from a
+    partial aggregation instead, and meet them in a join, which adaptive execution splits.
+    """
+    each = profiles.select("sig", "n", F.explode(F.arrays_zip("keys", "tops", "hots")).alias("x"))
+    posted = each.select(F.col("x.keys").alias("key"), "sig", "n", F.col("x.tops").alias("top"), F.col("x.hots").alias("hot"))
+    bounds = {"low": F.min("sig"), "high": F.max("sig"), "least": F.min("n"), "most": F.max("n")}
+    cold, hot = (posted.where(x).drop("hot") for x in ("not hot", "hot"))
+    whole = Window.partitionBy("key")
+    cold = cold.select("*", *[value.over(whole).alias(name) for name, value in bounds.items()]).where("low < high")
+    ends = hot.groupBy("key").agg(*[value.alias(name) for name, value in bounds.items()]).where("low < high")
+    fits = (F.col("top") >= F.col("least")) & (F.col("n") * join.percent <= F.col("most") * 100)
+    members = (df.where(fits).groupBy("key", "sig").agg(F.max("n").alias("n"), F.max("top").alias("top")) for df in (cold, hot.join(ends, "key")))
+    return next(members).unionByName(next(members))
+
+
 def _links(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str, join: Join, folder: str) -> DataFrame:
     """(node, root): components of the entities that link with another one."""
-    posted = profiles.select("sig", "n", F.explode(F.arrays_zip("keys", "tops")).alias("x")).select(F.col("x.keys").alias("key"), "sig", "n", F.col("x.tops").alias("top"))
-    shared = posted.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    shared = shared.where("low < high").select("key", "least", "most")
-    # Members for which the list has no set of a size that can link with them leave it.
-    fits = (F.col("top") >= F.col("least")) & (F.col("n") * join.percent <= F.col("most") * 100)
-    lists = posted.join(shared, "key").where(fits).groupBy("key", "sig").agg(F.max("n").alias("n"), F.max("top").alias("top"))
-    lists = table(lists, "lists", folder)
+    lists = table(_lists(profiles, join), "lists", folder)
     listed = lists.select("sig").distinct()
     entities = profiles.join(listed, "sig", "left_semi").groupBy("sig").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     entities = table(entities, "entities", folder)

@@ -146,7 +146,8 @@ def test_join_against_brute_force(spark, seed):
             number += 1
     rows += [(number + i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 80))) + " " + line) for i in range(15)]
     table = docs(spark, rows + rows[:3])
-    got = jaccard_join.join_components(table).collect()
+    join = jaccard_join.Join(hot=3 if seed == 2 else jaccard_join.Join.hot)
+    got = jaccard_join.join_components(table, join).collect()
     assert len(got) == len(rows) + 3
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
     kept = [r.doc_id for r in jaccard_join.one_of_each(table).collect()]
