@@ -390,14 +390,14 @@ def check_targets(options: DataFrame, checks: DataFrame) -> DataFrame:
 def min_pairwise_similarity(
     options: DataFrame, fields: dict[str, float]
 ) -> DataFrame:
-    """Whether two values of a multi-source field are less alike than its threshold.
-
-    ``fields``: logical id -> threshold.  Values are reduced to the distinct ones first.  Each is then
-    compared with one pivot per group (linear); a pair below the threshold settles the group.  Only
-    groups where every value is close to the pivot need more, and there the triangle inequality of
-    the edit distance leaves just the pairs whose distances to the pivot add up to more than the
-    threshold allows.  The verdict is exact; ``ratio_found`` is the lowest ratio that was computed, a
-    witness of a warning and not the minimum over all pairs.
+    """The lowest ratio of two values of a multi-source field, and whether it is below the field's threshold.
+
+    ``fields``: logical id -> threshold.  Values are reduced to the distinct ones first.  All are compared with
+    one pivot per group, then with the value farthest from it; the lowest ratio so far is the bound.  By the
+    triangle inequality of the edit distance, a pair is below the bound only if both its slacks add up to more
+    than nothing, where the slack of a value is its distance to a pivot less what the bound allows its length.
+    So values that even the largest slack of their group does not lift leave, one of each pair must have a slack
+    of its own, and only such pairs are compared.
     """
     keys = ["bundle_id", "logical_id"]
     limit = F
@@ -408,38 +408,47 @@ def min_pairwise_similarity(
         .select(*keys, T.strip(F.col("value")).alias("value"))
         .where("value <> ''")
         .distinct()
+        .withColumn("_span", F.length(T.sorted_tokens(F.col("value"))))
     )
-    groups = (
+    first = (
         values.groupBy(*keys)
-        .agg(F.min("value").alias("_pivot"), F.count(F.lit(1)).alias("distinct_values"))
+        .agg(F.min(F.struct("value", "_span")).alias("_p"), F.count(F.lit(1)).alias("distinct_values"))
         .where("distinct_values > 1")
-        .withColumn("threshold", limit.otherwise(F.lit(None)))
-    )
-    against = (
-        values.join(groups, keys)
-        .where("value <> _pivot")
-        .withColumn("ratio", T.token_sort_ratio(F.col("_pivot"), F.col("value")))
-        .withColumn("_span", F.length(T.sorted_tokens(F.col("value"))))
-        .withColumn("_distance", (1 - F.col("ratio")) * (F.length(T.sorted_tokens(F.col("_pivot"))) + F.col("_span")))
-    )
-    settled = against.groupBy(*keys).agg(
-        F.min("ratio").alias("ratio_found"), F.first("distinct_values").alias("distinct_values"),
-        F.first("threshold").alias("threshold"),
     )
-    open_values = against.join(settled.where("ratio_found >= threshold AND distinct_values > 2").select(*keys), keys, "left_semi")
-    left = open_values.select(*keys, "threshold", F.col("value").alias("a"), F.col("_span").alias("la"), F.col("_distance").alias("da"))
-    right = open_values.select(*keys, F.col("value").alias("b"), F.col("_span").alias("lb"), F.col("_distance").alias("db"))
+
+    def against(rows: DataFrame, pivots: DataFrame, distance: str) -> DataFrame:
+        ratio = T.token_sort_ratio(F.col("_p.value"), F.col("value"))
+        return (
+            rows.join(pivots, keys)
+            .where(F.col("value") != F.col("_p.value"))
+            .withColumn("_ratio", ratio)
+            .withColumn(distance, (1 - F.col("_ratio")) * (F.col("_p._span") + F.col("_span")))
+            .drop("_p")
+        )
+
+    one = against(values, first, "_d1")
+    bound = one.groupBy(*keys).agg(
+        F.min("_ratio").alias("_bound"), F.min_by(F.struct("value", "_span"), F.struct("_ratio", "value")).alias("_p"), F.first("distinct_values").alias("distinct_values")
+    )
+    two = against(one.drop("_ratio", "distinct_values"), bound.where("distinct_values > 2").select(*keys, "_p"), "_d2")
+    lower = bound.join(two.groupBy(*keys).agg(F.min("_ratio").alias("_second")), keys, "left")
+    lower = lower.select(*keys, "distinct_values", F.least("_bound", "_second").alias("_bound"))
+    slack = [(F.col(d) - (1 - F.col("_bound")) * F.col("_span") + 1e-9).alias(s) for d, s in (("_d1", "_s1"), ("_d2", "_s2"))]
+    slacks = two.join(lower, keys).select(*keys, "value", *slack)
+    most = slacks.groupBy(*keys).agg(F.max("_s1").alias("_m1"), F.max("_s2").alias("_m2")).where("_m1 > 0 AND _m2 > 0")
+    open_ = slacks.join(most, keys).where("_s1 + _m1 > 0 AND _s2 + _m2 > 0")
+    left = open_.where("_s1 > 0").select(*keys, F.struct(F.col("_s1").alias("s1"), F.col("value").alias("v"), F.col("_s2").alias("s2")).alias("a"))
+    right = open_.select(*keys, F.struct(F.col("_s1").alias("s1"), F.col("value").alias("v"), F.col("_s2").alias("s2")).alias("b"))
     rest = (
         left.join(right, keys)
-        .where("a < b AND da + db + 1e-9 > (1 - threshold) * (la + lb)")
-        .withColumn("ratio", T.token_sort_ratio(F.col("a"), F.col("b")))
+        .where("a > b AND a.s1 + b.s1 > 0 AND a.s2 + b.s2 > 0")
         .groupBy(*keys)
-        .agg(F.min("ratio").alias("_rest"))
+        .agg(F.min(T.token_sort_ratio(F.col("a.v"), F.col("b.v"))).alias("_rest"))
     )
-    lowest = F.least("ratio_found", "_rest")
-    return settled.join(rest, keys, "left").select(
-        *keys, "distinct_values", lowest.alias("ratio_found"),
-        F.when(lowest < F.col("threshold"), F.lit("warn")).otherwise(F.lit("pass")).alias("status"),
+    lowest = F.least("_bound", "_rest")
+    return lower.join(rest, keys, "left").select(
+        *keys, "distinct_values", lowest.alias("min_ratio"),
+        F.when(lowest < limit.otherwise(F.lit(None)), F.lit("warn")).otherwise(F.lit("pass")).alias("status"),
     )
 
 

@@ -435,14 +435,16 @@ _SORTED = "array_to_string(list_sort(string_split({}, ' ')), ' ')"
     "agg_12_min_pairwise_similarity",
     f"""WITH vals AS (SELECT DISTINCT p_brand || p_type AS bundle_id, p_name AS v, {_SORTED.format('p_name')} AS s FROM part),
 pairs AS (SELECT a.bundle_id, a.s AS x, b.s AS y FROM vals a JOIN vals b ON a.bundle_id = b.bundle_id AND a.v < b.v)
-SELECT bundle_id, 'trading_name' AS logical_id,
+SELECT bundle_id, 'trading_name' AS logical_id, round(min({sql.similarity('x', 'y')} / 100.0::DOUBLE), 9) AS min_ratio,
   CASE WHEN min({sql.similarity('x', 'y')} / 100.0::DOUBLE) < 0.82::DOUBLE THEN 'warn' ELSE 'pass' END AS status FROM pairs GROUP BY bundle_id""",
 )
 def min_pairwise(t):
     options = t.part.select(
         F.concat("p_brand", "p_type").alias("bundle_id"), F.lit("trading_name").alias("logical_id"), F.col("p_name").alias("value")
     )
-    return A.min_pairwise_similarity(options, {"trading_name": 0.82, "bill_to_street": 0.75}).select("bundle_id", "logical_id", "status")
+    return A.min_pairwise_similarity(options, {"trading_name": 0.82, "bill_to_street": 0.75}).select(
+        "bundle_id", "logical_id", F.round("min_ratio", 9).alias("min_ratio"), "status"
+    )
 
 
 @query(

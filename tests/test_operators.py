@@ -182,6 +182,29 @@ def test_master_comparison_and_auto_apply(spark):
     assert sorted(r.path for r in applied.collect()) == [SLOT4, "tradingName"]
 
 
+def test_least_similar_pair_equals_all_pairs(spark):
+    import itertools
+    import random
+
+    from entityops.functions.text import _similarity
+
+    rng = random.Random(4)
+    names = {g: ["".join(rng.choices("abcd", k=rng.randint(1, n))) + " " + "".join(rng.choices("ab", k=3)) for _ in range(n * 3)] for g, n in enumerate((1, 2, 4, 9, 14))}
+    names[9] = ["steel works north " + "".join(rng.choices("xyz", k=3)) for _ in range(30)]  # all alike
+    names[10] = ["single", " single "]
+    rows = [(str(g), "legal_name", v) for g, group in names.items() for v in group + group[:1]] + [("0", "other", "x"), ("0", "legal_name", " ")]
+    got = {r.bundle_id: r for r in A.min_pairwise_similarity(spark.createDataFrame(rows, "bundle_id string, logical_id string, value string"), {"legal_name": 0.82}).collect()}
+
+    def ratio(a, b):
+        a, b = (" ".join(sorted(x.split())) for x in (a, b))
+        return _similarity(a, b) / 100
+
+    expected = {str(g): min(ratio(a, b) for a, b in itertools.combinations(set(group), 2)) for g, group in names.items() if len({v.strip() for v in group}) > 1}
+    assert set(got) == set(expected)
+    for g, lowest in expected.items():
+        assert abs(got[g].min_ratio - lowest) < 1e-9 and got[g].status == ("warn" if lowest < 0.82 else "pass")
+
+
 def test_pairwise_similarity_agrees_with_brute_force(spark):
     import itertools
     import random
