@@ -7,15 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A setting of our own, since a running session refuses a new ``spark.checkpoint.dir``.
+LOCAL_FOLDER = "entityops.local.folder"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary one only where it is unset and the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_FOLDER, None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="entityops-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set(LOCAL_FOLDER, root)
     return f"{root.rstrip('/')}/corpus-{uuid.uuid4().hex}"
 
 

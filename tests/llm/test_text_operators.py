@@ -276,3 +276,20 @@ def test_native_operators_have_no_python_in_their_plans(spark):
     table = docs(spark, [(1, TEXT, "h")])
     for df in (quality_rules.apply_rules(table), privacy.replace_entities(table, "k").drop("entities").withColumn("x", F.lit(1))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_local_sessions_without_a_checkpoint_folder_get_one():
+    from types import SimpleNamespace
+
+    from entityops.llm.storage import shared_folder
+
+    class Settings(dict):
+        def set(self, name, value):
+            assert name != "spark.checkpoint.dir"  # a running session refuses it
+            self[name] = value
+
+    local, cluster = (SimpleNamespace(conf=Settings(), sparkContext=SimpleNamespace(master=m)) for m in ("local[2]", "spark://host:7077"))
+    first, second = shared_folder(local), shared_folder(local)
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+    with pytest.raises(RuntimeError):
+        shared_folder(cluster)
