@@ -30,3 +30,18 @@ def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
         if current.join(current.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
         number += 1
+
+
+def merged(found: DataFrame | None, edges: DataFrame, folder: str | None = None) -> DataFrame:
+    """Components (see ``components``) of the links behind ``found`` and of ``edges`` together.
+
+    Components found before are contracted to their roots, so only the new links go through rounds. The smallest of
+    several roots is the smallest node of them all.
+    """
+    if found is None:
+        return components(edges, folder)
+    roots = [found.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+    short = edges.join(roots[0], "a", "left").join(roots[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    new = components(short, folder)  # no node of it is one of found: those are contracted
+    moved = found.join(new.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return moved.select("node", F.coalesce("top", "root").alias("root")).unionByName(new)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from entityops.llm import words as W
-from entityops.llm.graph import components
+from entityops.llm.graph import merged
 from entityops.llm.storage import remove, shared_folder, table
 
 
@@ -337,7 +337,7 @@ def _links(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str, join: J
     listed = lists.select("sig").distinct()
     entities = profiles.join(listed, "sig", "left_semi").groupBy("sig").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     entities = table(entities, "entities", folder)
-    edges, found, place, number = None, None, None, 0
+    found, place, number = None, None, 0
     while True:
         if found is None:
             lists = lists.withColumn("root", F.col("sig"))
@@ -370,10 +370,9 @@ def _links(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str, join: J
         pairs = table(_possible(table(pairs, f"near-{number}", folder), entities, join), f"pairs-{number}", folder)
         if not pairs.isEmpty():
             new = table(_verified(docs, pairs, entities, doc_id, text, join), f"edges-{number}", folder)
-            edges = new if edges is None else edges.union(new)
             before, place = place, f"{folder}/found-{number}"
-            found = table(components(edges, f"{folder}/round-{number}"), f"found-{number}", folder)
-            for old in (f"{folder}/round-{number}", before):
+            found = table(merged(found, new, f"{folder}/round-{number}"), f"found-{number}", folder)
+            for old in (f"{folder}/round-{number}", f"{folder}/edges-{number}", before):
                 if old:
                     remove(docs.sparkSession, old)
         lists = lists.join(pivots.select("key", F.col("p.sig").alias("sig")), ["key", "sig"], "left_anti").select("key", "sig", "n", "top")
