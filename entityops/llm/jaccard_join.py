@@ -43,6 +43,7 @@ class Join:
     """``frequent`` bounds the table of frequent shingles (an ordering aid, no result depends on it).
 
     Lists whose rarest shingle is known to be in ``hot`` documents are joined in a way that splits them over tasks.
+    Pivots of a list grow by ``growth`` a round: more of it means fewer rounds, and more pairs that a later link makes needless.
     """
 
     width: int = 4
@@ -52,6 +53,7 @@ class Join:
     frequent_in_batch: int = 2
     sketch_bits: int = 25
     pivots: tuple[int, int, int] = (1, 4, 1024)
+    growth: int = 16
     short: int = 4
     broadcast_rows: int = 1 << 17
     scattered_percent: int = 80
@@ -359,7 +361,7 @@ def _links(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str, join: J
             lists = lists.join(entities.select("sig", *_folded(F.col("bits"))), "sig")
             brief += ["b0", "b1"]
         rank = F.row_number().over(Window.partitionBy("key").orderBy("sig"))
-        most = join.pivots[-1] * 4 ** max(0, number - 1)
+        most = join.pivots[-1] * join.growth ** max(0, number - 1)
         pivots = lists.withColumn("k", rank).where(F.col("k") <= most).where(F.col("k") <= F.col("quota")).select("key", F.struct(*brief).alias("p"))
         pivots = table(pivots, f"pivots-{number}", folder)
         near = (F.col("n") <= F.col("p.top")) & (F.col("p.n") <= F.col("top")) & (F.col("root") != F.col("p.root"))
@@ -396,12 +398,12 @@ def _quota(members: Column, alone: Column, number: int, join: Join) -> Column:
 
     Members of a list that holds copies soon share a component, so few pivots do at first. A list most of
     whose members are still alone after a round must be compared pair by pair, and gets many. Both numbers grow
-    fourfold in each round, so the number of rounds grows with the logarithm of the longest list. Pairs that sizes and places rule out leave the join before it makes a row.
+    by ``growth`` in each round, so the number of rounds grows with the logarithm of the longest list. Pairs that sizes and places rule out leave the join before it makes a row.
     """
     few, some, many = join.pivots
     scattered = alone * 100 >= members * join.scattered_percent
-    grown = some * 4 ** max(0, number - 1)
-    long = F.lit(few) if number == 0 else F.when(scattered, F.lit(many * 4 ** (number - 1))).otherwise(F.lit(grown))
+    grown = some * join.growth ** max(0, number - 1)
+    long = F.lit(few) if number == 0 else F.when(scattered, F.lit(many * join.growth ** (number - 1))).otherwise(F.lit(grown))
     return F.when(members <= join.short, F.lit(join.short)).otherwise(long)
 
 
