@@ -2,9 +2,10 @@
 
 ``first_row`` and ``last_row`` are aggregates, so each map task sends one row per group and a group
 that holds a third of the table costs no more than any other.  ``top_rows`` relies on Spark's
-window group limit, which keeps at most k rows per group on the map side.  ``number_rows`` is for
-the cases that need a number on every row: the group is cut into buckets that follow the order,
-buckets are counted with partial aggregation, and rows are numbered inside (group, bucket) only.
+window group limit, which keeps at most k rows per group on the map side.  ``number_sorted`` is for
+the cases that need a number on every row: all rows are sorted by group and order into ranges whose
+bounds Spark samples, so a large group is spread over many ranges whatever its values are.
+``number_rows`` does the same for callers that know even buckets of a group beforehand.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entityops.session import materialise
+
 
 def _pick(df: DataFrame, keys: list[str], order: list[Column], smallest: bool) -> DataFrame:
     row = F.struct(*[F.col(c) for c in df.columns if c not in keys])
@@ -58,6 +61,30 @@ def number_rows(
     return numbered.join(offsets, same).select(*df.columns, (F.col("_local") + F.col("_offset")).alias(name))
 
 
+def number_sorted(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Number the rows of each group from 1, in ``order``, which should end with a tie-breaker.
+
+    One range exchange on keys and order deals the rows; rows that agree in both cannot be parted, all others
+    can. The sorted ranges are written once, so the range and the place of a row are the same for everyone who
+    reads them. What is joined back has one row per group and range: the place of the group's first row there and
+    its rows in earlier ranges. Null keys form a group.
+    """
+    place, first, before = ("_place", "_first", "_before")
+    at = [*[F.col(k) for k in keys], *order]
+    ranged = df.repartitionByRange(*at).sortWithinPartitions(*at).withColumn(place, F.monotonically_increasing_id())
+    ranged = materialise(ranged)
+    part = F.shiftright(place, 33)
+    starts = ranged.groupBy(*keys, part.alias("_part")).agg(F.min(place).alias(first), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_k_part"), first, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(before)
+    )
+    same = part == F.col("_k_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return ranged.join(starts, same).select(*df.columns, (F.col(place) - F.col(first) + F.col(before) + 1).alias(name))
+
+
 def padded(number: Column, width: int) -> Column:
     """A whole number as text that sorts by its value: zeros in front, and one tilde for every digit past ``width``."""
     text = number.cast("string")

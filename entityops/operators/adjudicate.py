@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from entityops import constants as C
 from entityops.functions import identifiers as I
 from entityops.functions import text as T
-from entityops.functions.ordering import first_row, number_rows, order_text, padded, top_rows
+from entityops.functions.ordering import first_row, number_sorted, order_text, padded, top_rows
 
 PATH_KEYS = ["bundle_id", "path"]
 
@@ -704,13 +704,9 @@ def bundle_summary(documents: DataFrame, conflicts: DataFrame, checks: DataFrame
 
 
 def audit_trail(
-    options: DataFrame, checks: DataFrame, conflicts: DataFrame, verdicts: DataFrame, observed: DataFrame | None = None,
-    ordinal_prefix: int = 12,
+    options: DataFrame, checks: DataFrame, conflicts: DataFrame, verdicts: DataFrame, observed: DataFrame | None = None
 ) -> DataFrame:
-    """Numbered observe, rule, compare and recommend steps of each bundle.
-
-    ``ordinal_prefix``: leading characters of ``ordinal`` that cut a bundle into numbering buckets.
-    """
+    """Numbered observe, rule, compare and recommend steps of each bundle."""
 
     def steps(df: DataFrame, phase: int, kind: str, ref: Column) -> DataFrame:
         return df.select(
@@ -726,10 +722,7 @@ def audit_trail(
     if observed is not None:
         parts.append(steps(observed, 5, "observe", F.col("doc_type")))
     rows = reduce(DataFrame.unionByName, parts)
-    return number_rows(
-        rows, ["bundle_id"], [F.col("phase"), F.col("ordinal"), F.col("ref")],
-        [F.col("phase"), F.substring("ordinal", 1, ordinal_prefix)], "step",
-    )
+    return number_sorted(rows, ["bundle_id"], [F.col("phase"), F.col("ordinal"), F.col("ref")], "step")
 
 
 # --- address candidates ----------------------------------------------------------------------

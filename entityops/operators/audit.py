@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entityops import constants as C
@@ -25,31 +25,38 @@ def integrity_audit(
     """Findings as rows (finding, subject, rows).
 
     Duplicate keys; values without a partner in a reference table; values outside a code list; rows
-    where a column is set but the column it requires is not.  Every part is counted per value before
-    anything is joined, so the joins see distinct values only.
+    where a column is set but the column it requires is not.  The table is read once, however many findings are
+    asked for: each row names what it has to be counted for, counts are partial aggregates, and one join looks the
+    counted values up in all references together.
     """
-
-    def subject(prefix: str, *names: str):
-        return F.concat(F.lit(prefix), F.concat_ws("|", *[F.col(n).cast("string") for n in names]))
-
-    parts = [
-        table.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-        .select(F.lit("duplicate_key").alias("finding"), subject("", *key).alias("subject"), "rows")
-    ]
+    parts: list[tuple[str, str, Column]] = [("duplicate_key", "", F.array(*[F.col(n).cast("string") for n in key]))]
+    known = []
     for name, (reference, column) in (references or {}).items():
-        used = table.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("rows"))
-        missing = used.join(reference.select(F.col(column).alias(name)), name, "left_anti")
-        parts.append(missing.select(F.lit("dangling_reference").alias("finding"), subject(f"{name}=", name).alias("subject"), "rows"))
+        # both sides as text of the type to which Spark would bring them for a comparison
+        mine, theirs = table.schema[name].dataType, reference.schema[column].dataType
+        value = F.coalesce(F.col(name), F.lit(None).cast(theirs)).cast("string")
+        known.append(reference.select(
+            F.lit(len(parts)).alias("_part"), F.coalesce(F.col(column), F.lit(None).cast(mine)).cast("string").alias("_match")
+        ).where("_match IS NOT NULL"))
+        parts.append(("dangling_reference", f"{name}=", F.when(F.col(name).isNotNull(), F.array(F.col(name).cast("string"), value))))
     for name, allowed in (codes or {}).items():
-        unknown = table.where(F.col(name).isNotNull() & ~F.col(name).isin(*allowed)).groupBy(name).agg(F.count(F.lit(1)).alias("rows"))
-        parts.append(unknown.select(F.lit("unknown_code").alias("finding"), subject(f"{name}=", name).alias("subject"), "rows"))
+        unknown = F.col(name).isNotNull() & ~F.col(name).isin(*allowed)
+        parts.append(("unknown_code", f"{name}=", F.when(unknown, F.array(F.col(name).cast("string")))))
     for name, other in (requires or {}).items():
-        broken = table.where(T.present(F.col(name)) & T.blank(F.col(other)))
-        parts.append(
-            broken.agg(F.count(F.lit(1)).alias("rows")).where("rows > 0")
-            .select(F.lit("inconsistent_columns").alias("finding"), F.lit(f"{name} without {other}").alias("subject"), "rows")
-        )
-    return reduce(DataFrame.unionByName, parts)
+        broken = T.present(F.col(name)) & T.blank(F.col(other))
+        parts.append(("inconsistent_columns", f"{name} without {other}", F.when(broken, F.array().cast("array<string>"))))
+
+    last = len(references or {})
+    cells = F.array_compact(F.array(*[F.when(value.isNotNull(), F.struct(F.lit(i).alias("_part"), value.alias("_value"))) for i, (_, _, value) in enumerate(parts)]))
+    counts = table.select(F.inline(cells)).groupBy("_part", "_value").agg(F.count(F.lit(1)).alias("rows")).where("_part > 0 OR rows > 1")
+    if known:
+        counts = counts.withColumn("_match", F.when(F.col("_part").between(1, last), F.col("_value")[1]).otherwise(F.array_join("_value", "|")))
+        counts = counts.join(reduce(DataFrame.unionByName, known), ["_part", "_match"], "left_anti")
+    label = F.create_map(*[F.lit(x) for i, (finding, _, _) in enumerate(parts) for x in (i, finding)])
+    prefix = F.create_map(*[F.lit(x) for i, (_, text, _) in enumerate(parts) for x in (i, text)])
+    # a reference's value also carries the text it is looked up by, which is no part of the subject
+    shown = F.when(F.col("_part").between(1, last), F.slice("_value", 1, 1)).otherwise(F.col("_value"))
+    return counts.select(label[F.col("_part")].alias("finding"), F.concat(prefix[F.col("_part")], F.array_join(shown, "|")).alias("subject"), "rows")
 
 
 def rule_ledger(rules: DataFrame, conditions: DataFrame) -> DataFrame:

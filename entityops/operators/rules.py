@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DateType, NumericType, Str
 
 from entityops import constants as C
 from entityops.functions import text as T
-from entityops.functions.ordering import number_rows
+from entityops.functions.ordering import number_sorted
 
 
 # --- predicates ------------------------------------------------------------------------------
@@ -344,7 +344,7 @@ def canonical_json(columns: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
 
 
-def import_rules(rows: DataFrame, bucket_width: int = 4096) -> DataFrame:
+def import_rules(rows: DataFrame) -> DataFrame:
     """Rule ids ``country.group.field[.scope]`` with ``-n`` on repeats, and a content hash.
 
     rows: country, group_label, field_name, scope_key, ordinal (integer) and any body columns.
@@ -352,7 +352,7 @@ def import_rules(rows: DataFrame, bucket_width: int = 4096) -> DataFrame:
     parts = [F.lower("country"), slug(F.col("group_label")), slug(F.col("field_name"))]
     scoped = F.when(T.present(F.col("scope_key")), slug(F.col("scope_key")))
     based = rows.withColumn("_base", F.concat_ws(".", *parts, scoped))
-    numbered = number_rows(based, ["_base"], [F.col("ordinal")], [F.floor(F.col("ordinal") / bucket_width)], "_nth")
+    numbered = number_sorted(based, ["_base"], [F.col("ordinal")], "_nth")
     body = {
         "fieldGroupLabel": F.col("group_label"), "fieldName": F.col("field_name"), "scopeKey": F.col("scope_key"),
     } | {c: F.col(c) for c in rows.columns if c not in ("country", "group_label", "field_name", "scope_key", "ordinal")}

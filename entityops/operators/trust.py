@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from entityops import constants as C
 from entityops.functions import identifiers as I
 from entityops.functions import text as T
-from entityops.functions.ordering import first_row, number_rows
+from entityops.functions.ordering import first_row, number_sorted
 from entityops.functions.rows import struct_rows
 from entityops.operators.match import field_weight
 
@@ -131,7 +131,7 @@ def best_with_address(scored: DataFrame) -> DataFrame:
 def rank_sources(scored: DataFrame) -> DataFrame:
     """Sources by score x authority, highest first, stable."""
     strength = F.col("match_score") * F.col("authority")
-    return number_rows(scored, ["record_id"], [-strength, F.col("ordinal")], [F.floor(-strength)], "rank")
+    return number_sorted(scored, ["record_id"], [-strength, F.col("ordinal")], "rank")
 
 
 def correlation(scored: DataFrame, opinions: DataFrame | None = None) -> DataFrame:
